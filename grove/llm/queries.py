@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm import omh, quality
+import public_tokenizers
+from grove.llm import bpe, omh, packing, quality, warc
 from grove.llm.common import table
 
 
+#: Where the vocabularies are: a parameter of the operators.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.edited(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_holds")
+
+
+def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.ledger(table(spark, sf_dir, "documents"))
     base_failed = ~F.coalesce(quality.verdict("base-1"), F.lit(False))
@@ -20,4 +38,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(*columns, base_failed.alias("base_failed"), quality.verdict("full-1").alias("kept"), "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op2_order_minhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op6_warc_revisits, op9_bpe_prefix_dp, op10_quality_rules)}

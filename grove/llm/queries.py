@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grove.llm import bpe, omh, packing, quality, warc
+from grove.llm import bpe, omh, packing, quality, simhash, warc
 from grove.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_holds")
 
 
+def op7_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -38,4 +42,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(*columns, base_failed.alias("base_failed"), quality.verdict("full-1").alias("kept"), "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op6_warc_revisits, op9_bpe_prefix_dp, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op6_warc_revisits, op7_simhash_bit_sliced, op9_bpe_prefix_dp, op10_quality_rules)}

@@ -7,8 +7,8 @@ archive. Reading takes whole archives, each of a bounded number of payload bytes
 Content-Length, so that payloads may hold anything, record separators included.
 
 Defined results: null html is an empty payload; records of fewer than `least` payload bytes are all responses; rows that
-repeat the smallest page_id of a payload are all responses; a null page_id is larger than any other, and where a payload
-has none but null ids all its records are responses; line ends in URLs are percent-encoded; a null URL is about:blank; an
+repeat the smallest page_id of a payload are all responses; records whose page_id is null are responses, and none refers
+to them; line ends in URLs are percent-encoded; a null URL is about:blank; an
 empty table gives one archive without records; columns other than page_id, url and html are ignored, whatever their names.
 """
 
@@ -48,7 +48,7 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
     first = headers.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     again = first.where("n > 1 AND first_id IS NOT NULL").drop("n")  # a digest seen once needs no join
     met = headers.join(again, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisit = F.coalesce((F.col("payload_bytes") >= least) & (F.col("page_id") > F.col("first_id")), F.lit(False))
     return met.select(
         *headers.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -66,7 +66,10 @@ def write(pages: DataFrame, least: int = 0, date: str = DATE) -> str:
     own = pages.select("page_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"payload_digest": base32_sha1(F.col("html")), "payload_bytes": F.octet_length("html").cast("long")})
     decided = resolve(own.select("page_id", "payload_digest", "payload_bytes"), least).where("record_type = 'revisit'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to").distinct()
-    met = own.join(decided, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    # payloads move once: the join's partitions are the archives. Of rows that repeat an id, each meets its own digest only
+    n = buckets_for(own.agg(F.sum("payload_bytes").alias("n")).first()["n"] or 0, ARCHIVE_BYTES, 6)
+    same = (F.col("page_id") == F.col("__id")) & (F.instr("payload_digest", F.col("__digest")) == 1)
+    met = own.repartition(n, "page_id").join(decided.repartition(n, "__id"), same, "left")
     revisit = F.col("refers_to").isNotNull()
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -79,9 +82,7 @@ def write(pages: DataFrame, least: int = 0, date: str = DATE) -> str:
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"),
     )
-    records = met.select("page_id", F.concat(header, F.lit(CRLF + CRLF), block).alias("value"))
-    size = own.agg(F.sum("payload_bytes").alias("n")).first()["n"] or 0
-    archives = records.repartition(buckets_for(size, ARCHIVE_BYTES, 6), F.xxhash64("page_id")).select("value")
+    archives = met.select(F.concat(header, F.lit(CRLF + CRLF), block).alias("value"))
     path = shared_path(spark, "warc")
     archives.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
     return path

@@ -20,17 +20,19 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grove.llm.bpe import byte_letters
 from grove.llm.common import cut
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps.
-KEPT = 600_000
+#: Words whose ids a worker keeps, and the longest of them in characters.
+KEPT, KEPT_CHARS = 600_000, 64
 #: Plans of up to so many entries are broadcast (48 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ENTRIES = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -114,27 +116,48 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Fill]:
     return fills
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Words(dict):
+    """The ids of words as little-endian bytes, found out once each; a word is what stands between spaces or newlines.
+
+    A word of letters alone is one piece to the vocabulary's splitting pattern, so the model's merges get it at once, in
+    lower case; full stops and commas at a word's end are a piece of their own. All else goes the library's whole way.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = [letters[b] for b in range(256)]
 
-    return Tokenizer.from_file(path), {}
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(".,")
+        if stem != word and stem and stem[-1].isalpha():
+            ids = self[stem] + self[word[len(stem) :]]
+        elif (lower := word.lower()).isalpha() and word.isalpha() and "\u03a3" not in word and is_normalized("NFC", word):
+            seen = lower if lower.isascii() else "".join(self.letters[b] for b in lower.encode())
+            ids = np.array([t.id for t in self.merges(seen)], dtype="<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> Words:
+    return Words(path)
 
 
 def _encoded(path: str, texts: list[str]) -> Iterator[bytes]:
-    """Ids of each text, little-endian; white space separates what the vocabulary encodes, so words are encoded once."""
-    tokenizer, known = _tokenizer(path)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(texts), 256):
-        split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list(set().union(*split))
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encode(new, add_special_tokens=False)))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+    """Ids of each text, little-endian; the vocabulary drops white space, so words are encoded apart."""
+    known = word_ids(path).__getitem__
+    for t in texts:
+        yield b"".join(map(known, t.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:

@@ -134,7 +134,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(".,")
-        if stem != word and stem and stem[-1].isalpha():
+        if stem != word and stem and stem[-1].lower()[-1].isalpha():
             ids = self[stem] + self[word[len(stem) :]]
         elif (lower := word.lower()).isalpha() and word.isalpha() and "\u03a3" not in word and is_normalized("NFC", word):
             seen = lower if lower.isascii() else "".join(self.letters[b] for b in lower.encode())

@@ -17,6 +17,7 @@ share of toxic labels (0 where there are none); empty tables give no rows; colum
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ SAMPLE, VOTERS, THRESHOLD = 20_000, 256, 0.3
 FOLDS, HELD_OUT = 4, 2
 PREFIXES = (4, 5, 6)
 #: Words whose voters a worker remembers.
-KEPT = 400_000
+KEPT = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,6 +46,9 @@ def patterns_of(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
 
 
+_known: dict = {"name": None, "words": {}}
+
+
 @dataclass
 class Model:
     """A linear classifier over log counts of the voters' hits."""
@@ -55,13 +59,18 @@ class Model:
     accuracies: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def __post_init__(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def known(self) -> dict[str, tuple[int, ...]]:
+        """The voters of words seen before: one table a worker, whatever the number of its tasks."""
+        if _known["name"] != self.name:
+            _known.update(name=self.name, words={})
+        return _known["words"]
 
     def hits(self, text: str) -> dict[int, int]:
         """How often each voter fires in a text."""
         out: dict[int, int] = defaultdict(int)
-        known = self.known
+        known = self.known()
         for word, n in Counter(LETTERS.findall(text.lower())).items():
             mine = known.get(word)
             if mine is None:

@@ -26,7 +26,7 @@ from grove.llm.common import buckets_for, text_bytes
 
 WINDOW, MERS = 20, 4
 #: Bytes of text that a chunk and a bucket (of segments) hold, about.
-CHUNK, BUCKET = 8 << 20, 16 << 20
+CHUNK, BUCKET = 8 << 20, 8 << 20
 #: A segment's bytes are about so many times those of its own windows.
 SPREAD = 3
 KEPT = 400_000

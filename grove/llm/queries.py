@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grove.llm import bpe, ctw, omh, packing, quality, simhash, superkmers, toxicity, warc
+from grove.llm import bpe, ctw, omh, packing, quality, simhash, suffix_dedup, superkmers, toxicity, warc
 from grove.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,4 +58,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(*columns, base_failed.alias("base_failed"), quality.verdict("full-1").alias("kept"), "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op3_context_tree_weighting, op5_toxicity_weak_supervision, op6_warc_revisits, op7_simhash_bit_sliced, op8_super_kmers, op9_bpe_prefix_dp, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op3_context_tree_weighting, op4_suffix_array_dedup, op5_toxicity_weak_supervision, op6_warc_revisits, op7_simhash_bit_sliced, op8_super_kmers, op9_bpe_prefix_dp, op10_quality_rules)}

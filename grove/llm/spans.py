@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 SPAN = "doc_id bigint, th bigint, s int, e int"
 PACKED = "bucket bigint, meta binary, body binary, spans binary"
-_META = np.dtype([("doc_id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("size", "<i4"), ("flag", "<i4")])
+_META = np.dtype([("doc_id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("size", "<i4"), ("flag", "<i4"), ("minimiser", "<u8")])
 _SPANS = np.dtype([("doc_id", "<i8"), ("th", "<i8"), ("s", "<i4"), ("e", "<i4")])
 
 
@@ -83,8 +83,9 @@ def make_spans(doc_id: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.ndarray)
     return out
 
 
-def make_meta(doc_id: np.ndarray, th: np.ndarray, start: np.ndarray, windows: np.ndarray, size: np.ndarray, flag: np.ndarray | int = 0) -> np.ndarray:
+def make_meta(doc_id: np.ndarray, th: np.ndarray, start: np.ndarray, windows: np.ndarray, size: np.ndarray, flag: np.ndarray | int = 0, minimiser: np.ndarray | int = 0) -> np.ndarray:
     out = np.empty(len(start), _META)
+    out["minimiser"] = minimiser
     out["doc_id"], out["th"], out["start"], out["windows"], out["size"], out["flag"] = doc_id, th, start, windows, size, flag
     return out
 

@@ -2,7 +2,7 @@
 
 A window is WINDOW consecutive words. Its minimiser is the least hash of the runs of MERS words inside it; consecutive
 windows that share one travel as one packed string to the bucket of that minimiser, so equal windows meet whatever stands
-around them. There windows are sorted by hash, those that agree are compared word for word, and all but the one with the
+around them. There windows are sorted by hash, those that agree are compared byte for byte, and all but the one with the
 smallest (doc_id, start) are reported. Before the shuffle each chunk of text does the same on its own: windows that repeat
 inside it are reported at once and not sent, so a passage that very many documents share is sent once a chunk.
 
@@ -18,7 +18,6 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 
 from grove.llm import spans as sp
@@ -29,27 +28,31 @@ WINDOW, MERS = 20, 4
 CHUNK, BUCKET = 8 << 20, 8 << 20
 #: A segment's bytes are about so many times those of its own windows.
 SPREAD = 3
-KEPT = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """The 64-bit hashes of words, found out once each."""
+_BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = h
-        return h
 
+def hashed(text: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text, from sums of its bytes times powers of a base."""
+    n = len(text)
 
-_hashes = Hashes()
+    def powers_of(base: int) -> np.ndarray:
+        each = np.full(n + 1, base, np.uint64)
+        each[0] = 1
+        return np.cumprod(each)
 
+    powers = powers_of(_BASE)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * powers[:n])))
+    return mixed((sums[ends] - sums[begins]) * powers_of(pow(_BASE, -1, 1 << 64))[begins])
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (not included) of each word of a text that has one space after each word."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    return np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends, ends
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,27 +105,28 @@ def later(value: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.
     return some[after], head[after]
 
 
-def exactly(words: list[bytes], at: np.ndarray, doc_id: np.ndarray, start: np.ndarray, late: np.ndarray, head: np.ndarray, width: int) -> np.ndarray:
-    """late, once windows and their heads (indices; window i begins at words[at[i]]) have been compared word for word."""
+def exactly(text: bytes, at: np.ndarray, begin: np.ndarray, end: np.ndarray, doc_id: np.ndarray, start: np.ndarray, late: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """late, once windows and their heads (indices; window i is text[begin[i]:end[i]], its first word at[i]) have been compared byte for byte."""
     order = np.argsort(late)
     late, head = late[order], head[order]
-    a, b = at[late], at[head]
-    new = np.concatenate(([True], (np.diff(a) != 1) | (np.diff(b) != 1))) if len(late) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(late)]):
-        size = j - i + width - 1
-        if words[a[i] : a[i] + size] != words[b[i] : b[i] + size]:
-            return _by_words(words, at, doc_id, start, width)
+    if not len(late):
+        return late
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(at[late]) != 1) | (np.diff(at[head]) != 1))))
+    last = np.append(first[1:], len(late)) - 1
+    for a, b, x, y in zip(begin[late[first]].tolist(), end[late[last]].tolist(), begin[head[first]].tolist(), end[head[last]].tolist()):
+        if text[a:b] != text[x:y]:
+            return _by_bytes(text, begin, end, doc_id, start)
     return late
 
 
-def _by_words(words: list[bytes], at: np.ndarray, doc_id: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+def _by_bytes(text: bytes, begin: np.ndarray, end: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The same without hashes: taken where two different windows have one hash."""
     first: dict[bytes, tuple[int, int]] = {}
-    keys = [b" ".join(words[a : a + width]) for a in at.tolist()]
-    for k, place in zip(keys, zip(doc_id.tolist(), start.tolist())):
+    keys = [text[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+    at = list(zip(doc_id.tolist(), start.tolist()))
+    for k, place in zip(keys, at):
         first[k] = min(first.get(k, place), place)
-    return np.flatnonzero([first[k] != place for k, place in zip(keys, zip(doc_id.tolist(), start.tolist()))])
+    return np.flatnonzero([first[k] != place for k, place in zip(keys, at)])
 
 
 def _windows(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,39 +141,36 @@ def _sent(batches: Iterator[pd.DataFrame], n_buckets: int, width: int, mers: int
     for ids, ths, texts in sp.chunks(batches, chunk):
         split = [t.split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for s in split for w in s]
         at, owner, start = _windows(sizes, width)
         if not len(at):
             continue
-        h = hashed(words)
+        text = b" ".join([w for s in split for w in s]) + b" "
+        begins, ends = places(text)
+        h = hashed(text, begins, ends)
         late, head = later(rolled(h, width)[at], ids[owner], start)
-        late = exactly(words, at, ids[owner], start, late, head, width)
+        late = exactly(text, at, begins[at], ends[at + width - 1], ids[owner], start, late, head)
         repeated = np.zeros(len(at), bool)
         repeated[late] = True
         a, b = sp.runs(repeated, owner)
         spans = sp.make_spans(ids[owner[a]], ths[owner[a]], start[a], start[b] + width)
         minimiser = least(rolled(h, mers, np.uint64(0xD6E8FEB86659FD93)), width - mers + 1)[at]
         a, b = sp.runs(~repeated, owner, minimiser)
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = np.concatenate(([0], ends[:-1]))
-        lo, hi = begins[at[a]], ends[at[b] + width - 1]
-        slices = [joined[x : y - 1] + b" " for x, y in zip(lo.tolist(), hi.tolist())]
+        lo, hi = begins[at[a]], ends[at[b] + width - 1] + 1
+        slices = [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
         meta = sp.make_meta(ids[owner[a]], ths[owner[a]], start[a], b - a + 1, hi - lo)
         yield sp.pack((minimiser[a] % np.uint64(n_buckets)).astype(np.int64), meta, slices, spans, n_buckets)
 
 
 def _met(frame: pd.DataFrame, width: int) -> pd.DataFrame:
-    meta, body, spans = sp.unpack(frame)
+    meta, text, spans = sp.unpack(frame)
     if not len(meta):
         return sp.as_frame(spans)
-    words = body.split()
-    n = meta["windows"].astype(np.int64)
-    at, owner, start = _windows(n + width - 1, width)
+    at, owner, start = _windows(meta["windows"].astype(np.int64) + width - 1, width)
     start = start + meta["start"][owner]
     doc_id, th = meta["doc_id"][owner], meta["th"][owner]
-    late, head = later(rolled(hashed(words), width)[at], doc_id, start)
-    late = exactly(words, at, doc_id, start, late, head, width)
+    begins, ends = places(text)
+    late, head = later(rolled(hashed(text, begins, ends), width)[at], doc_id, start)
+    late = exactly(text, at, begins[at], ends[at + width - 1], doc_id, start, late, head)
     repeated = np.zeros(len(at), bool)
     repeated[late] = True
     a, b = sp.runs(repeated, owner)

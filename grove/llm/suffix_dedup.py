@@ -33,6 +33,8 @@ WINDOW, MER = 200, 64
 CHUNK, SHARD, SORTED = 2 << 20, 8 << 20, 2 << 20
 #: The bitmap of repeated minimisers has 2 ** BITS[0] bits at least and 2 ** BITS[1] (128 MB) at most.
 BITS = (20, 30)
+#: Bits of a minimiser's hash that are counted by.
+HASH = 48
 #: Windows of a segment beyond which its own repeats are found before it travels (only periodic texts have such).
 LONG = 2048
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,8 +49,8 @@ def _minimised(texts: list[bytes], width: int, mer: int) -> tuple:
     return at, owner, start, least(h, width - mer + 1)[at] if len(at) else np.zeros(0, np.uint64), h
 
 
-def _counted(batches: Iterator[pd.DataFrame], bits: int, n_shards: int, width: int, mer: int, chunk: int) -> Iterator[pd.DataFrame]:
-    """Places in the bitmap of the minimisers of a partition, packed by slice, with how often they stand somewhere."""
+def _counted(batches: Iterator[pd.DataFrame], n_shards: int, width: int, mer: int, chunk: int) -> Iterator[pd.DataFrame]:
+    """Hashes of the minimisers of a partition, packed by range, with whether they stand in one place or in more."""
     for _, _, texts in sp.chunks(batches, chunk):
         at, _, _, minimiser, h = _minimised([t for t in texts if len(t) >= width], width, mer)
         if not len(at):
@@ -58,29 +60,34 @@ def _counted(batches: Iterator[pd.DataFrame], bits: int, n_shards: int, width: i
         around = np.zeros(len(h) + 2 * reach, np.uint64)
         around[at + reach] = minimiser
         chosen = ~least(~around, reach + 1)[: len(h)] == h
-        place = (h[chosen] >> np.uint64(64 - bits)).astype(np.int64)
+        place = (h[chosen] >> np.uint64(64 - HASH)).astype(np.int64)
         place, n = np.unique(place, return_counts=True)
-        part = place * n_shards >> bits
+        part = (place >> 24) * n_shards >> (HASH - 24)
         for s in np.unique(part):
             mine = part == s
-            yield pd.DataFrame([(int(s), zstandard.compress(np.stack((place[mine], n[mine])).tobytes(), 1))], columns=["bucket", "body"])
-
-
-def _slices(frame: pd.DataFrame) -> pd.DataFrame:
-    parts = [np.frombuffer(zstandard.decompress(b), np.int64).reshape(2, -1) for b in frame["body"]]
-    place, n = np.concatenate(parts, axis=1)
-    place, at = np.unique(place, return_inverse=True)
-    twice = place[np.bincount(at, n) > 1]
+            body = np.diff(place[mine], prepend=0).tobytes() + np.minimum(n[mine], 2).astype(np.uint8).tobytes()
+            yield pd.DataFrame([(int(s), zstandard.compress(body, 1))], columns=["bucket", "body"])
+
+
+def _slices(frame: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Places in the bitmap of the minimisers of a range that stand in more than one place."""
+    places, counts = [], []
+    for body in map(zstandard.decompress, frame["body"]):
+        n = len(body) // 9
+        places.append(np.cumsum(np.frombuffer(body, "<i8", n)))
+        counts.append(np.frombuffer(body, np.uint8, n, 8 * n))
+    place, at = np.unique(np.concatenate(places), return_inverse=True)
+    twice = np.unique(place[np.bincount(at, np.concatenate(counts)) > 1] >> (HASH - bits))
     return pd.DataFrame({"places": [zstandard.compress(np.diff(twice, prepend=0).astype("<i8").tobytes(), 1)]})
 
 
 def repeated_minimisers(own: DataFrame, size: int, width: int, mer: int, chunk: int) -> tuple[bytes, int]:
     """A bitmap (packed bits) of minimisers that occur more than once, and the number of its address bits."""
-    bits = min(BITS[1], max(BITS[0], (4 * size // (width - mer + 1)).bit_length()))
+    bits = min(BITS[1], max(BITS[0], (8 * size // (width - mer + 1)).bit_length()))
     n = buckets_for(size, 64 << 20)
-    counted = own.select("doc_id", "th", "text").mapInPandas(lambda b: _counted(b, bits, n, width, mer, chunk), "bucket bigint, body binary")
+    counted = own.select("doc_id", "th", "text").mapInPandas(lambda b: _counted(b, n, width, mer, chunk), "bucket bigint, body binary")
     flags = np.zeros(1 << bits, bool)
-    for row in counted.groupBy("bucket").applyInPandas(_slices, "places binary").toLocalIterator():  # a slice at a time, the bitmap in all
+    for row in counted.groupBy("bucket").applyInPandas(lambda f: _slices(f, bits), "places binary").toLocalIterator():  # a slice at a time, the bitmap in all
         flags[np.cumsum(np.frombuffer(zstandard.decompress(row["places"]), "<i8"))] = True
     return zstandard.compress(np.packbits(flags).tobytes(), 1), bits
 

@@ -14,6 +14,7 @@ than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -25,7 +26,7 @@ from grove.llm.common import buckets_for, text_bytes
 
 WINDOW, MERS = 20, 4
 #: Bytes of text that a chunk and a bucket (of segments) hold, about.
-CHUNK, BUCKET = 8 << 20, 8 << 20
+CHUNK, BUCKET = 4 << 20, 4 << 20
 #: A segment's bytes are about so many times those of its own windows.
 SPREAD = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -35,18 +36,24 @@ _BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 _BASE = 0xD1342543DE82EF95
 
 
-def hashed(text: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of a text, from sums of its bytes times powers of a base."""
-    n = len(text)
-
-    def powers_of(base: int) -> np.ndarray:
-        each = np.full(n + 1, base, np.uint64)
-        each[0] = 1
-        return np.cumprod(each)
-
-    powers = powers_of(_BASE)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * powers[:n])))
-    return mixed((sums[ends] - sums[begins]) * powers_of(pow(_BASE, -1, 1 << 64))[begins])
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    each = np.full(n + 1, base, np.uint64)
+    each[0] = 1
+    return np.cumprod(each)
+
+
+def hashed(text: bytes, begins: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word of a text, from sums of its bytes times powers of a base; a block of words at a time."""
+    out = np.empty(len(begins), np.uint64)
+    for i in range(0, len(begins), block):
+        b, e = begins[i : i + block], ends[i : i + block]
+        first, n = int(b[0]), int(e[-1] - b[0])
+        size = 1 << max(20, n.bit_length())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[np.frombuffer(text, np.uint8, n, first)] * _powers(_BASE, size)[:n], out=sums[1:])
+        out[i : i + block] = mixed((sums[e - first] - sums[b - first]) * _powers(pow(_BASE, -1, 1 << 64), size)[b - first])
+    return out
 
 
 def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:

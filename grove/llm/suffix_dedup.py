@@ -30,7 +30,7 @@ from grove.llm.superkmers import _windows, least, rolled
 
 WINDOW, MER = 200, 64
 #: Bytes of text in a chunk, of segments in a shard, and of segments that are sorted together, about.
-CHUNK, SHARD, SORTED = 2 << 20, 8 << 20, 2 << 20
+CHUNK, SHARD, SORTED = 1 << 20, 4 << 20, 1 << 20
 #: The bitmap of repeated minimisers has 2 ** BITS[0] bits at least and 2 ** BITS[1] (128 MB) at most.
 BITS = (20, 30)
 #: Bits of a minimiser's hash that are counted by.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,16 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 def buckets_for(size: int, each: int, least: int = 12) -> int:
     """So many buckets that one holds about `each` bytes."""
     return max(least, math.ceil(size / each))
+
+
+@lru_cache(maxsize=1)
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: there is nothing to give back
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; for use after work on large arrays."""
+    _trimmer()(0)

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grove.llm.common import give_back
+
 #: Stands for a null doc_id inside packed segments: such rows come before all others.
 NO_ID = -(1 << 63)
 SPAN = "doc_id bigint, th bigint, s int, e int"
@@ -37,6 +39,7 @@ def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndar
             if held >= size:
                 yield np.array(ids, np.int64), np.array(ths, np.int64), texts
                 ids, ths, texts, held = [], [], [], 0
+                give_back()
     if ids:
         yield np.array(ids, np.int64), np.array(ths, np.int64), texts
 
@@ -91,6 +94,8 @@ def make_meta(doc_id: np.ndarray, th: np.ndarray, start: np.ndarray, windows: np
 
 
 def as_frame(spans: np.ndarray) -> pd.DataFrame:
+    """Spans as rows, once the work of a bucket is done."""
+    give_back()
     return pd.DataFrame({c: spans[c] for c in ("doc_id", "th", "s", "e")})
 
 
@@ -141,6 +146,7 @@ def applied(docs: DataFrame, spans: DataFrame, result: Callable[[str, np.ndarray
             frame = pd.DataFrame(out, columns=["doc_id", "extra", *names])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+            give_back()
 
     met = both.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "is_doc")
     done = met.mapInPandas(rows, f"doc_id bigint, extra {shape}, {schema}")

@@ -4,24 +4,24 @@ from __future__ import annotations
 
 TEXTS = {
     "sql_pricing_summary": """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
   round(avg(l_discount), 6) AS avg_disc, count(*) AS n
 FROM lineitem WHERE l_shipdate <= CAST('1998-12-01' AS TIMESTAMP) - INTERVAL '90' DAY GROUP BY l_returnflag, l_linestatus""",
     "sql_shipping_priority": """
-SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate
 FROM customer, orders, lineitem
 WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1997-03-15' AND l_shipdate > TIMESTAMP '1997-03-15'
 GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey, o_orderdate LIMIT 10""",
     "sql_local_supplier_volume": """
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM customer, orders, lineitem, supplier, nation, region
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
   AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name""",
     "sql_forecast_revenue": """
-SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' + INTERVAL '1' YEAR AND l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24""",
     "sql_volume_shipping": """
-SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS BIGINT) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS BIGINT) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM supplier, lineitem, orders, customer, nation n1, nation n2
 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
   AND ((n1.n_nationkey = 6 AND n2.n_nationkey = 7) OR (n1.n_nationkey = 7 AND n2.n_nationkey = 6))
@@ -34,12 +34,12 @@ FROM (SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, l_extende
     AND n1.n_regionkey = r_regionkey AND r_regionkey = 1 AND s_nationkey = n2.n_nationkey) AS all_nations
 GROUP BY o_year""",
     "sql_product_profit": """
-SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * l_quantity), 2) AS profit
+SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * l_quantity), 4) AS profit
 FROM part, supplier, lineitem, orders, nation
 WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%small%'
 GROUP BY n_name, extract(year FROM o_orderdate)""",
     "sql_returned_items": """
-SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal
+SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal
 FROM customer, orders, lineitem
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1996-10-01' AND o_orderdate < TIMESTAMP '1996-10-01' + INTERVAL '3' MONTH
 GROUP BY c_custkey, c_name, c_acctbal ORDER BY revenue DESC, c_custkey LIMIT 20""",
@@ -56,7 +56,7 @@ SELECT round(100.00 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice *
 FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-09-01' + INTERVAL '1' MONTH""",
     "sql_top_supplier_cte": """
 WITH revenue (supplier_no, total_revenue) AS (
-  SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY l_suppkey)
+  SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue)""",
     "sql_count_distinct_not_in": """
 SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt
@@ -71,7 +71,7 @@ SELECT c_custkey, o_orderkey, round(sum(l_quantity), 2) AS total_qty FROM custom
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey
 GROUP BY c_custkey, o_orderkey""",
     "sql_theta_or": """
-SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part
+SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem, part
 WHERE p_partkey = l_partkey AND ((p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 6 AND 10 AND l_quantity BETWEEN 10 AND 20) OR (p_size BETWEEN 11 AND 15 AND l_quantity BETWEEN 20 AND 30))""",
     "sql_exists": """
 SELECT o_orderpriority, count(*) AS order_count FROM orders

@@ -66,9 +66,11 @@ def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / F.lit(float(slots))
 
 
-def with_next(df: DataFrame, columns: tuple[str, ...], rows_each: int = 500) -> DataFrame:
+def with_next(df: DataFrame, columns: tuple[str, ...], rows_each: int = 500, prepare=None) -> DataFrame:
     """df (doc_id, text and more) with next_<c> of the next document by ascending id, for c in columns.
 
+    prepare: adds columns to the rows on their way to the window; done once a row, whatever the look ahead needs before.
+
     Ids are cut into ranges at quantiles; within a range a window looks ahead, and the first row of each range is also
     handed to the range before. Only the bounds and the least id of each range, MAX_RANGES at most, reach the driver.
     """
@@ -84,13 +86,14 @@ def with_next(df: DataFrame, columns: tuple[str, ...], rows_each: int = 500) ->
     least = [(r["__range"], r["first"]) for r in ids.withColumn("__range", place.cast("int")).groupBy("__range").agg(F.min(F.struct(F.col("doc_id"))).alias("s")).select("__range", F.col("s.doc_id").alias("first")).collect()]
     least.sort()
     before = {r: least[i - 1][0] for i, (r, _) in enumerate(least)}
+    prepare = prepare or (lambda x: x)
     if not least:
-        return placed.drop("__range").withColumns({f"next_{c}": F.col(c) for c in columns})
+        return prepare(placed.drop("__range")).withColumns({f"next_{c}": F.col(c) for c in columns})
     firsts = spark.createDataFrame([(r, f, before[r]) for r, f in least], "`__range` int, first bigint, `__before` int")
     heads = placed.join(F.broadcast(firsts), "__range").where(F.col("doc_id").eqNullSafe(F.col("first")))  # MAX_RANGES rows of ids at most
     one = heads.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(F.col("text").asc_nulls_first()))).where("__k = 1")
     extra = one.drop("__range", "__k", "first").withColumnRenamed("__before", "__range").withColumn("__extra", F.lit(1))
-    both = placed.withColumn("__extra", F.lit(0)).unionByName(extra)
+    both = prepare(placed.withColumn("__extra", F.lit(0)).unionByName(extra))
     by_id = Window.partitionBy("__range").orderBy("__extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ahead = both.withColumns({f"next_{c}": F.lead(c).over(by_id) for c in columns})
     return ahead.where("__extra = 0").drop("__extra", "__range")
@@ -98,8 +101,8 @@ def with_next(df: DataFrame, columns: tuple[str, ...], rows_each: int = 500) ->
 
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and likeness of each text, of its edited text and of the next document."""
-    own = signature(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sig")
-    both = with_next(own, ("text", "sig"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(own, ("text", "sig"), prepare=lambda x: signature(x, "text", "sig"))
     n = F.length("text")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 2), substring(next_text, 1, n_chars div 2))")).drop("text", "next_text")
     both = signature(both, "edited", "edited_sig")

@@ -111,7 +111,7 @@ def test_signature_feels_order(spark):
 
 @pytest.mark.parametrize("rows_each", [500, 3])
 def test_next_document_and_edited_text(spark, monkeypatch, rows_each):
-    monkeypatch.setattr(omh.with_next, "__defaults__", (rows_each,))
+    monkeypatch.setattr(omh.with_next, "__defaults__", (rows_each, None))
     docs = [(i * 3 % 40, f"text é {i} " * (i % 4)) for i in range(40)] + [(60, None), (None, "no id here"), (5, "tie b"), (5, "tie a"), (90, "x" * 301)]
     df = spark.createDataFrame([(*d, "n", 3) for d in docs], "doc_id long, text string, sig string, n_chars int")
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))

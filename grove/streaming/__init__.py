@@ -1,0 +1,2 @@
+"""Streams: the engine's workloads have none. Relations are DataFrames, so a static plan also takes streaming ones where
+Structured Streaming allows its operators (filters, projections, inner joins along a tree within watermarks)."""

@@ -3,7 +3,8 @@
 A window is WINDOW consecutive words. Its minimiser is the least hash of the runs of MERS words inside it; consecutive
 windows that share one travel as one packed string to the bucket of that minimiser, so equal windows meet whatever stands
 around them. There windows are sorted by hash, those that agree are compared byte for byte, and all but the one with the
-smallest (doc_id, start) are reported. Before the shuffle each chunk of text does the same on its own: windows that repeat
+smallest (doc_id, start) are reported. A first pass finds the minimisers that stand in one place only (grove.llm.minimisers);
+their windows cannot be repeated and do not travel. Before the shuffle each chunk of text does the same on its own: windows that repeat
 inside it are reported at once and not sent, so a passage that very many documents share is sent once a chunk.
 
 Defined results: null text has no words; texts of fewer words than a window lose nothing; null ids come before all others;
@@ -19,16 +20,17 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 
+from grove.llm import minimisers as mn
 from grove.llm import spans as sp
 from grove.llm.common import buckets_for, text_bytes
+from grove.llm.minimisers import least
 
-WINDOW, MERS = 20, 4
+WINDOW, MERS = 20, 8
 #: Bytes of text that a chunk and a bucket (of segments) hold, about.
 CHUNK, BUCKET = 4 << 20, 4 << 20
-#: A segment's bytes are about so many times those of its own windows.
-SPREAD = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,15 +86,6 @@ def rolled(h: np.ndarray, width: int, step: np.uint64 = _STEP) -> np.ndarray:
         size *= 2
 
 
-def least(h: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each run of `width` entries."""
-    size = 1
-    while 2 * size <= width:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
-
-
 def later(value: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of entries whose value also stands at a smaller (doc_id, start), and the index of that first one."""
     order = np.argsort(value, kind="stable")
@@ -144,28 +137,46 @@ def _windows(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.repeat(np.cumsum(sizes) - sizes, n) + start, owner, start
 
 
-def _sent(batches: Iterator[pd.DataFrame], n_buckets: int, width: int, mers: int, chunk: int) -> Iterator[pd.DataFrame]:
-    for ids, ths, texts in sp.chunks(batches, chunk):
+class _Chunk:
+    """The windows of some texts, one text after the other: first word, text, start there and minimiser."""
+
+    def __init__(self, texts: list[bytes], width: int, mers: int) -> None:
         split = [t.split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        at, owner, start = _windows(sizes, width)
-        if not len(at):
+        self.at, self.owner, self.start = _windows(sizes, width)
+        self.text = b" ".join([w for s in split for w in s]) + b" " if len(self.at) else b""
+        self.begins, self.ends = places(self.text)
+        self.hashes = hashed(self.text, self.begins, self.ends)
+        self.mers = rolled(self.hashes, mers, np.uint64(0xD6E8FEB86659FD93))
+        self.minimiser = least(self.mers, width - mers + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+
+
+def _selected(texts: list[bytes], width: int, mers: int) -> np.ndarray:
+    c = _Chunk(texts, width, mers)
+    return c.mers[mn.chosen(c.mers, c.at, c.minimiser, width - mers)]
+
+
+def _sent(batches: Iterator[pd.DataFrame], bitmap, bits: int, n_buckets: int, width: int, mers: int, chunk: int) -> Iterator[pd.DataFrame]:
+    flags = np.frombuffer(zstandard.decompress(bitmap.value), np.uint8)
+    for ids, ths, texts in sp.chunks(batches, chunk):
+        c = _Chunk(texts, width, mers)
+        kept = mn.hits(flags, bits, c.minimiser)
+        some = np.flatnonzero(kept)
+        if not len(some):
             continue
-        text = b" ".join([w for s in split for w in s]) + b" "
-        begins, ends = places(text)
-        h = hashed(text, begins, ends)
-        late, head = later(rolled(h, width)[at], ids[owner], start)
-        late = exactly(text, at, begins[at], ends[at + width - 1], ids[owner], start, late, head)
-        repeated = np.zeros(len(at), bool)
-        repeated[late] = True
+        owner, start, text = c.owner, c.start, c.text
+        late, head = later(rolled(c.hashes, width)[c.at[some]], ids[owner[some]], start[some])
+        at = c.at[some]
+        late = exactly(text, at, c.begins[at], c.ends[at + width - 1], ids[owner[some]], start[some], late, head)
+        repeated = np.zeros(len(kept), bool)
+        repeated[some[late]] = True
         a, b = sp.runs(repeated, owner)
         spans = sp.make_spans(ids[owner[a]], ths[owner[a]], start[a], start[b] + width)
-        minimiser = least(rolled(h, mers, np.uint64(0xD6E8FEB86659FD93)), width - mers + 1)[at]
-        a, b = sp.runs(~repeated, owner, minimiser)
-        lo, hi = begins[at[a]], ends[at[b] + width - 1] + 1
+        a, b = sp.runs(kept & ~repeated, owner, c.minimiser)
+        lo, hi = c.begins[c.at[a]], c.ends[c.at[b] + width - 1] + 1
         slices = [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
         meta = sp.make_meta(ids[owner[a]], ths[owner[a]], start[a], b - a + 1, hi - lo)
-        yield sp.pack((minimiser[a] % np.uint64(n_buckets)).astype(np.int64), meta, slices, spans, n_buckets)
+        yield sp.pack((c.minimiser[a] % np.uint64(n_buckets)).astype(np.int64), meta, slices, spans, n_buckets)
 
 
 def _met(frame: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -186,8 +197,12 @@ def _met(frame: pd.DataFrame, width: int) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WINDOW, mers: int = MERS, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """Spans of words (s to e, e not included) that repeated windows cover, by document key."""
-    n = buckets_for(SPREAD * text_bytes(docs), bucket)
-    sent = sp.keyed(docs).mapInPandas(lambda b: _sent(b, n, width, mers, chunk), sp.PACKED)
+    own, size = sp.keyed(docs), text_bytes(docs)
+    # a minimiser every (width - mers + 2) / 2 words, of five bytes at least
+    bitmap, bits = mn.repeated(own, lambda t: _selected(t, width, mers), size, size // (2 * (width - mers + 2)), chunk)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)  # 128 MB at most
+    n = buckets_for(size, bucket)
+    sent = own.mapInPandas(lambda b: _sent(b, bitmap, bits, n, width, mers, chunk), sp.PACKED)
     return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width), sp.SPAN)
 
 

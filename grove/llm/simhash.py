@@ -239,8 +239,9 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: in
     own = cut(fingerprints(docs, width), "fingerprints")
     prints = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     found = components(links(prints.select("fp"), radius, limit))
-    rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = cut(prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # written, so that the join below is one whose large partitions Spark can split
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     named = rooted.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -24,17 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.llm import induced
+from grove.llm import minimisers as mn
 from grove.llm import spans as sp
 from grove.llm.common import buckets_for, text_bytes
-from grove.llm.superkmers import _windows, least, rolled
+from grove.llm.minimisers import least
+from grove.llm.superkmers import _windows, rolled
 
 WINDOW, MER = 200, 64
 #: Bytes of text in a chunk, of segments in a shard, and of segments that are sorted together, about.
 CHUNK, SHARD, SORTED = 1 << 20, 4 << 20, 1 << 20
-#: The bitmap of repeated minimisers has 2 ** BITS[0] bits at least and 2 ** BITS[1] (128 MB) at most.
-BITS = (20, 30)
-#: Bits of a minimiser's hash that are counted by.
-HASH = 48
 #: Windows of a segment beyond which its own repeats are found before it travels (only periodic texts have such).
 LONG = 2048
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,47 +47,9 @@ def _minimised(texts: list[bytes], width: int, mer: int) -> tuple:
     return at, owner, start, least(h, width - mer + 1)[at] if len(at) else np.zeros(0, np.uint64), h
 
 
-def _counted(batches: Iterator[pd.DataFrame], n_shards: int, width: int, mer: int, chunk: int) -> Iterator[pd.DataFrame]:
-    """Hashes of the minimisers of a partition, packed by range, with whether they stand in one place or in more."""
-    for _, _, texts in sp.chunks(batches, chunk):
-        at, _, _, minimiser, h = _minimised([t for t in texts if len(t) >= width], width, mer)
-        if not len(at):
-            continue
-        # a run of bytes is selected where it is the minimiser of a window around it: its hash is the greatest of their minima
-        reach = width - mer
-        around = np.zeros(len(h) + 2 * reach, np.uint64)
-        around[at + reach] = minimiser
-        chosen = ~least(~around, reach + 1)[: len(h)] == h
-        place = (h[chosen] >> np.uint64(64 - HASH)).astype(np.int64)
-        place, n = np.unique(place, return_counts=True)
-        part = (place >> 24) * n_shards >> (HASH - 24)
-        for s in np.unique(part):
-            mine = part == s
-            body = np.diff(place[mine], prepend=0).tobytes() + np.minimum(n[mine], 2).astype(np.uint8).tobytes()
-            yield pd.DataFrame([(int(s), zstandard.compress(body, 1))], columns=["bucket", "body"])
-
-
-def _slices(frame: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Places in the bitmap of the minimisers of a range that stand in more than one place."""
-    places, counts = [], []
-    for body in map(zstandard.decompress, frame["body"]):
-        n = len(body) // 9
-        places.append(np.cumsum(np.frombuffer(body, "<i8", n)))
-        counts.append(np.frombuffer(body, np.uint8, n, 8 * n))
-    place, at = np.unique(np.concatenate(places), return_inverse=True)
-    twice = np.unique(place[np.bincount(at, np.concatenate(counts)) > 1] >> (HASH - bits))
-    return pd.DataFrame({"places": [zstandard.compress(np.diff(twice, prepend=0).astype("<i8").tobytes(), 1)]})
-
-
-def repeated_minimisers(own: DataFrame, size: int, width: int, mer: int, chunk: int) -> tuple[bytes, int]:
-    """A bitmap (packed bits) of minimisers that occur more than once, and the number of its address bits."""
-    bits = min(BITS[1], max(BITS[0], (8 * size // (width - mer + 1)).bit_length()))
-    n = buckets_for(size, 64 << 20)
-    counted = own.select("doc_id", "th", "text").mapInPandas(lambda b: _counted(b, n, width, mer, chunk), "bucket bigint, body binary")
-    flags = np.zeros(1 << bits, bool)
-    for row in counted.groupBy("bucket").applyInPandas(lambda f: _slices(f, bits), "places binary").toLocalIterator():  # a slice at a time, the bitmap in all
-        flags[np.cumsum(np.frombuffer(zstandard.decompress(row["places"]), "<i8"))] = True
-    return zstandard.compress(np.packbits(flags).tobytes(), 1), bits
+def _selected(texts: list[bytes], width: int, mer: int) -> np.ndarray:
+    at, _, _, minimiser, h = _minimised([t for t in texts if len(t) >= width], width, mer)
+    return h[mn.chosen(h, at, minimiser, width - mer)] if len(at) else np.zeros(0, np.uint64)
 
 
 def _again(text: bytes, width: int) -> np.ndarray:
@@ -119,8 +79,7 @@ def _sent(batches: Iterator[pd.DataFrame], bitmap, bits: int, n_shards: int, wid
         at, owner, start, minimiser, h = _minimised(texts, width, mer)
         if not len(at):
             continue
-        place = minimiser >> np.uint64(64 - bits)
-        kept = (flags[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
+        kept = mn.hits(flags, bits, minimiser)
         a, b = sp.runs(kept, owner, minimiser)
         if not len(a):
             continue
@@ -215,7 +174,8 @@ def _met(frame: pd.DataFrame, width: int, together: int, memory: int) -> pd.Data
 def repeated_spans(docs: DataFrame, width: int = WINDOW, mer: int = MER, chunk: int = CHUNK, shard: int = SHARD, together: int = SORTED, memory: int = 256 << 20) -> DataFrame:
     """Spans of bytes (s to e, e not included) that strings of `width` bytes cover which start elsewhere too, by key."""
     own, size = sp.keyed(docs), text_bytes(docs)
-    bitmap, bits = repeated_minimisers(own, size, width, mer, chunk)
+    # a minimiser every (width - mer + 2) / 2 bytes
+    bitmap, bits = mn.repeated(own, lambda t: _selected(t, width, mer), size, 2 * size // (width - mer + 2), chunk)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)  # 128 MB at most
     n = buckets_for(size, shard)
     sent = own.mapInPandas(lambda b: _sent(b, bitmap, bits, n, width, mer, chunk), sp.PACKED)

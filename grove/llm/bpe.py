@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grove.llm.common import small_batches
+
 #: The pattern that byte-level pre-tokenizers split by (fixed value of the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Solved pieces that a worker keeps, and the longest of them in characters.
@@ -153,4 +155,4 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, SCHEMA)
+    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, SCHEMA)

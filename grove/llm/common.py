@@ -67,6 +67,16 @@ def _trimmer():
         return lambda _: 0
 
 
+#: Bytes of a batch of rows on its way to Python, about; a longer text is a batch of its own.
+BATCH = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends rows to Python by bytes and not by ten thousands, so that long texts don't pile up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system; for use after work on large arrays."""
     _trimmer()(0)

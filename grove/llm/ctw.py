@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import buckets_for, cut, text_bytes
+from grove.llm.common import buckets_for, cut, small_batches, text_bytes
 
 DEPTH = 5
 #: Contexts that end in the same so many bytes are in one shard.
@@ -385,9 +385,8 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
     n = buckets_for(text_bytes(docs), BUCKET)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    own = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
     asked = own.select("bucket", "held_out", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
     asked = cut(asked.mapInPandas(lambda b: _asked(b, n), "shard int, bucket int, kind int, keys binary, counts binary"), "asked")

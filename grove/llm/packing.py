@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.llm.bpe import byte_letters
-from grove.llm.common import cut
+from grove.llm.common import cut, small_batches
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and the longest of them in characters.
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
                     out.append((doc_id, start // capacity, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, PIECES)
+    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, PIECES)
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY, rows_each: int = 20_000) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut
+from grove.llm.common import cut, small_batches
 from grove.llm.components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fp = np.array([fingerprint(t, width) for t in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "doc_id bigint, fp bigint")
+    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "doc_id bigint, fp bigint")
 
 
 def blocks(low: int, high: int, n: int) -> list[tuple[int, int]]:

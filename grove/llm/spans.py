@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import give_back
+from grove.llm.common import give_back, small_batches
 
 #: Stands for a null doc_id inside packed segments: such rows come before all others.
 NO_ID = -(1 << 63)
@@ -24,7 +24,7 @@ _SPANS = np.dtype([("doc_id", "<i8"), ("th", "<i8"), ("s", "<i4"), ("e", "<i4")]
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th and text of each document; rows with one id and one text share their key (doc_id, th)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return small_batches(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -119,7 +119,7 @@ def applied(docs: DataFrame, spans: DataFrame, result: Callable[[str, np.ndarray
     """
     text = F.coalesce("text", F.lit(""))
     extra = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<x:int>")
-    own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), extra.alias("extra"), F.lit(True).alias("is_doc"))
+    own = small_batches(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), extra.alias("extra"), F.lit(True).alias("is_doc"))
     both = own.unionByName(spans.withColumn("is_doc", F.lit(False)), allowMissingColumns=True)
     shape = own.schema["extra"].dataType.simpleString()
 

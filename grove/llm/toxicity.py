@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut
+from grove.llm.common import cut, small_batches
 
 SAMPLE, VOTERS, THRESHOLD = 20_000, 256, 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -89,7 +89,7 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text and toxic of at most `sample` labelled rows that are not held out."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     book = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows], "doc_id bigint, toxic int")

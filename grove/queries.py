@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove import sqlcorpus
+from grove.functions import encryption
 from grove.functions.expressions import hash_bucket, hash_sample, suffix_products, text_contains
-from grove.operators import counting, graph, padding, positions, reduce, scans
+from grove.operators import changes, counting, graph, padding, positions, reduce, scans
 from grove.plans.joins import tree_join
 from grove.plans.tree import JoinTree
 from grove.sqlcorpus.texts import TEXTS
@@ -486,6 +487,40 @@ def sink_component(spark: SparkSession, d: str) -> DataFrame:
     return graph.sink_component(graph.sampled_degree(_edges(spark, d), 2))
 
 
+# --- changes, encryption, dialect ------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer UNION ALL SELECT s_suppkey + 1000000, s_nationkey FROM supplier")
+def insert_rows(spark: SparkSession, d: str) -> DataFrame:
+    more = t(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"))
+    return changes.inserted(t(spark, d, "customer", "c_custkey", "c_nationkey"), more)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    keys = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return changes.deleted(t(spark, d, "orders", "o_orderkey", "o_custkey"), keys, ["o_orderkey"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size < 10 THEN NULL ELSE p_brand END AS p_brand FROM part")
+def update_rows(spark: SparkSession, d: str) -> DataFrame:
+    new = t(spark, d, "part").where("p_size < 10").select("p_partkey", F.upper("p_name").alias("p_name"), F.lit(None).cast("string").alias("p_brand"))
+    return changes.updated(t(spark, d, "part", "p_partkey", "p_name", "p_brand"), new, ["p_partkey"], ["p_name", "p_brand"])
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def encrypted_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    key = b"0123456789abcdef"
+    sealed = encryption.encrypted(t(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal"), ["s_name", "s_acctbal"], key)
+    return encryption.decrypted(sealed, {"s_name": "string", "s_acctbal": "double"}, key)
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS k FROM orders WHERE o_custkey IN (1, 10, 100)")
+def dialect_decode_and_coercion(spark: SparkSession, d: str) -> DataFrame:
+    t(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql("SELECT o_orderkey, decode(o_orderstatus, 'F', 1, 'O', 2, 0) AS k FROM orders WHERE o_custkey IN ('1', '10', '100')")
+
+
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: sqlcorpus.run(spark, d, text)
 

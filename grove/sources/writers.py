@@ -56,3 +56,12 @@ def discard(df: DataFrame) -> None:
 def head(df: DataFrame, n: int = 20) -> list[tuple]:
     """The first rows of a result, for printing."""
     return [tuple(r) for r in df.limit(n).collect()]
+
+
+def answer(df: DataFrame, path: str) -> None:
+    """A query's answer as one text: the column names, then a line a row, fields between bars."""
+    spark = df.sparkSession
+    head = spark.createDataFrame([("|".join(df.columns),)], "value string").withColumn("__n", F.lit(0))
+    fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    body = df.select(F.concat_ws("|", *fields).alias("value"), F.lit(1).alias("__n"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("__n").select("value").write.text(path)

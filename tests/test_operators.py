@@ -126,3 +126,18 @@ def test_readers(spark, tmp_path):
     assert readers.ints(spark, f"file://{tmp_path}/out").count() == 3
     writers.discard(df)
     assert writers.count_only(df) == (3, 2) and len(writers.head(df, 2)) == 2
+
+
+def test_answer_and_encryption(spark, tmp_path):
+    from grove.functions.encryption import decrypted, encrypted
+    from grove.operators.changes import deleted, updated
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    writers.answer(df, f"file://{tmp_path}/answer")
+    assert sorted(r["value"] for r in spark.read.text(f"file://{tmp_path}/answer").collect()) == ["1|a", "2|", "k|v"]
+    sealed = encrypted(df, ["k", "v"], b"x" * 16)
+    assert dict(sealed.dtypes) == {"k": "binary", "v": "binary"}
+    assert sorted(map(tuple, decrypted(sealed, {"k": "int", "v": "string"}, b"x" * 16).collect())) == [(1, "a"), (2, None)]
+    keys = spark.createDataFrame([(1,), (None,)], "k int")
+    assert [r["k"] for r in deleted(df, keys, ["k"]).collect()] == [2]
+    assert sorted(map(tuple, updated(df, spark.createDataFrame([(2, "z")], "k int, v string"), ["k"], ["v"]).collect())) == [(1, "a"), (2, "z")]

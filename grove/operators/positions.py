@@ -2,8 +2,8 @@
 
 Counts are known before anything is joined. A root row owns as many positions as join rows it is part of; a position's
 offset within the row is a mixed-radix number with one digit a child; a child's digit falls into the interval of counts of
-one of the child's rows with that key. So each edge is one join, on the key and on that interval, and work is in proportion
-to the positions asked for, not to the join.
+one of the child's rows with that key. So each edge is one join, on the key and a bin of positions, and work is in
+proportion to the positions asked for, not to the join.
 """
 
 from __future__ import annotations
@@ -21,6 +21,16 @@ def _numbered_root(tree: JoinTree, counted: DataFrame, columns: list[str]) -> Da
     return global_prefix_sum(counted.where("__delta > 0"), "__delta", columns, "__start")
 
 
+#: Positions of a bin, and bins that one row reaches into at most, about.
+BIN, REACH = 64, 1024
+
+
+def _bin(tree: JoinTree, child: int, counted: DataFrame) -> int:
+    if not tree.children(child):
+        return BIN
+    return max(BIN, (counted.agg(F.max("__delta").alias("m")).first()["m"] or 0) // REACH)
+
+
 def _trace(tree: JoinTree, frames: list[DataFrame], counted: list[DataFrame], out: DataFrame) -> DataFrame:
     """out: root rows with __pos and __l<root>, the offset within the row."""
     root = tree.root
@@ -38,10 +48,15 @@ def _trace(tree: JoinTree, frames: list[DataFrame], counted: list[DataFrame], ou
             # a subtree's counts sum to a long: those that do not cannot be positions
             rows = counted[c].where("__delta > 0").withColumn("__end", F.sum("__delta").over(w))
             rows = rows.select(*named(c), *us(c), "__end", (F.col("__end") - F.col("__delta")).alias("__from"))
-            on = (F.col(f"__d{c}") >= F.col("__from")) & (F.col(f"__d{c}") < F.col("__end"))
+            # bins of positions: a key's positions and rows meet bin by bin, not all with all, and a hot key is many join keys
+            size = _bin(tree, c, counted[c])
+            at = lambda x, size=size: F.call_function("div", x, F.lit(size).cast("long"))
+            rows = rows.withColumn("__cell", F.explode(F.sequence(at(F.col("__from")), at(F.col("__end") - 1))))
+            state = state.withColumn("__bin", at(F.col(f"__d{c}")))
+            on = (F.col("__bin") == F.col("__cell")) & (F.col(f"__d{c}") >= F.col("__from")) & (F.col(f"__d{c}") < F.col("__end"))
             for a, b in zip(tree.in_parent[c], tree.in_child[c]):
                 on = on & (F.col(f"r{i}__{a}") == F.col(f"r{c}__{b}"))
-            state = state.join(rows, on).withColumn(f"__l{c}", F.col(f"__d{c}") - F.col("__from")).drop("__from", "__end", f"__d{c}")
+            state = state.join(rows, on).withColumn(f"__l{c}", F.col(f"__d{c}") - F.col("__from")).drop("__from", "__end", "__bin", "__cell", f"__d{c}")
     return state.drop(*[f"__l{i}" for i in range(len(tree))], *[f"__u{i}" for i in range(len(tree))])
 
 

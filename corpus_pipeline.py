@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grove.llm import packing, quality, simhash, suffix_dedup, toxicity
+from grove.llm import jaccard, packing, quality, suffix_dedup, toxicity
 from grove.llm.common import cut, table
 from grove.llm.queries import WORD_BPE
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each class of texts at five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
+    return jaccard.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

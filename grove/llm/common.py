@@ -49,6 +49,18 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of each class with the smallest (doc_id, th), with all its columns; rows without an id all stay.
+
+    rooted has doc_id, th and root of each row with an id: the hash of its text and the name of its class. Rows with one id
+    and one text are one.
+    """
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("one.doc_id", F.col("one.th").alias("__th"))
+    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(least, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts of a column: what the number of buckets is derived from."""
     return df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0

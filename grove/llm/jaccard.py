@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut, give_back, small_batches
+from grove.llm.common import cut, first_of_each, give_back, small_batches
 from grove.llm.components import components
 
 WIDTH, SEED = 5, 42
@@ -167,7 +167,5 @@ def rooted(docs: DataFrame, part: int = PART, part_bytes: int = PART_BYTES) -> D
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all its columns; rows without an id all stay."""
-    least = rooted(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    kept = docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each class, that with the smallest doc_id, then text hash, with all its columns; rows without an id all stay."""
+    return first_of_each(docs, rooted(docs))

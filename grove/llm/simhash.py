@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut, small_batches
+from grove.llm.common import cut, first_of_each, small_batches
 from grove.llm.components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
@@ -247,7 +247,9 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: in
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all its columns; rows without an id all stay."""
-    keepers = classes(docs.where("doc_id IS NOT NULL"), width, radius).select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each class, that with the smallest doc_id, then text hash, with all its columns; rows without an id all stay."""
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    # by text hashes for ids: a text has one class, an id may have several
+    found = classes(own.select(F.col("th").alias("doc_id"), "text"), width, radius)
+    found = found.select(F.col("doc_id").alias("th"), F.col("component_id").alias("root")).distinct()
+    return first_of_each(docs, own.select("doc_id", "th").join(found, "th"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from grove.llm import jaccard
+from grove.llm import jaccard, simhash
 from tests.conftest import SF
 from tests.llm.test_simhash import roots
 
@@ -63,3 +63,13 @@ def test_near_dedup_stage_drops_copies_beyond_four_bits(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
     # 177 is at 0.83 to 1, and nine bits from it
     assert kept == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()]) and 1 in kept and 177 not in kept
+
+
+@pytest.mark.parametrize("keep_first", [jaccard.keep_first, simhash.keep_first])
+def test_each_class_keeps_one_row_though_ids_repeat(spark, keep_first):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "cd")
+    # a and b have only id 1; the class of c has a smaller id than 5, which d has as its smallest
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, c), (5, c), (5, d), (6, d), (None, a)]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (3, c), (5, d), (None, a)], key=repr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,48 +67,70 @@ def sampled_degree(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return top_per_group(edges, k, ["source"], [F.xxhash64(F.lit(seed), F.col("target")), F.col("target")])
 
 
-def _reach_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """For each node the smallest node that it is reached from, along the edges."""
-    now = cut(nodes.select("node", F.col("node").alias("label")), "labels")
+def _colours(nodes: DataFrame, edges: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """(node, colour): of the nodes that a node is reached from, itself included, the first in an order drawn by the seed."""
+    drawn = F.struct(F.xxhash64(F.lit(seed), F.col("node")).alias("draw"), F.col("node").alias("name"))
+    now = cut(nodes.select("node", drawn.alias("colour")), "colours")
     for _ in range(rounds):
-        heard = now.join(edges, now["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("heard"))
-        new = cut(now.join(heard, "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"), (F.col("heard") < F.col("label")).alias("moved")), "labels")
-        now = new.select("node", "label")
+        heard = now.join(edges, now["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("heard"))
+        new = now.join(heard, "node", "left").select("node", F.least("colour", F.coalesce("heard", "colour")).alias("colour"), (F.col("heard") < F.col("colour")).alias("moved"))
+        new = cut(new, "colours")
+        now = new.select("node", "colour")
         if not new.where("moved").limit(1).count():
-            return now
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+            return now.select("node", F.col("colour.name").alias("colour"))
+    raise RuntimeError(f"colours did not settle in {rounds} rounds")
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes."""
+    keep = nodes.select("node")
+    edges = edges.join(keep, edges["source"] == keep["node"], "left_semi")
+    return edges.join(keep, edges["target"] == keep["node"], "left_semi")
 
 
 def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """(node, component) of all nodes, the component named by its smallest node.
 
-    Smallest reaching nodes are spread along the edges and then, inside each colour so found, back from the colour's root;
-    what the root reaches both ways is a component. It is taken out, and the rest goes again.
+    Divide and conquer in a drawn order: a node takes the colour of the first node that reaches it. A component never
+    spans two colours, so edges between colours go, and what reaches a colour's first node back is that node's component.
+    Components are taken out and the rest goes again under a new draw; the rounds expected grow with the logarithm of the
+    number of nodes, whatever the graph's shape. Nodes without an edge in or without one out are components by themselves
+    and are taken out before. A round spreads colours edge by edge, so its passes are bounded by the longest shortest way.
+    An answer is whole or there is none: RuntimeError after `rounds` rounds, or as many passes of one round.
     """
     left = cut(edges.where("source <> target").distinct(), "edges")
     nodes = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct(), "nodes")
-    found = None
-    for _ in range(rounds):
-        colour = _reach_labels(nodes, left, rounds)
-        a = colour.select(F.col("node").alias("source"), F.col("label").alias("c1"))
-        b = colour.select(F.col("node").alias("target"), F.col("label").alias("c2"))
-        inside = cut(left.join(a, "source").join(b, "target").where("c1 = c2").select("source", "target"), "inside")
-        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
-        reach = cut(colour.where("node = label").select("node"), "reach")
-        n = -1
-        while (size := reach.count()) != n:
-            n = size
-            more = back.join(reach, back["source"] == reach["node"], "left_semi").select(F.col("target").alias("node"))
-            reach = cut(reach.union(more).distinct(), "reach")
-        done = cut(reach.join(colour, "node").select("node", F.col("label").alias("component")), "component")
-        found = done if found is None else found.union(done)
-        nodes = cut(nodes.join(done, "node", "left_anti"), "nodes")
+    found: list[DataFrame] = []
+    for seed in range(rounds):
         if not nodes.limit(1).count():
             break
-        keep = nodes.select("node")
-        left = left.join(keep, left["source"] == keep["node"], "left_semi")
-        left = cut(left.join(keep, left["target"] == keep["node"], "left_semi"), "edges")
-    return found
+        both = left.select(F.col("source").alias("node")).intersect(left.select(F.col("target").alias("node")))
+        inner = cut(both, "inner")
+        found.append(cut(nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "component"))
+        left = cut(_among(left, inner), "edges")
+        colour = _colours(inner, left, seed, rounds)
+        a = colour.select(F.col("node").alias("source"), F.col("colour").alias("c1"))
+        b = colour.select(F.col("node").alias("target"), F.col("colour").alias("c2"))
+        left = cut(left.join(a, "source").join(b, "target").where("c1 = c2").select("source", "target"), "edges")
+        back = left.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        reach = cut(colour.where("node = colour").select("node"), "reach")
+        for _ in range(rounds):
+            size = reach.count()
+            more = back.join(reach, back["source"] == reach["node"], "left_semi").select(F.col("target").alias("node"))
+            reach = cut(reach.union(more).distinct(), "reach")
+            if reach.count() == size:
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} passes")
+        done = reach.join(colour, "node")
+        names = done.groupBy("colour").agg(F.min("node").alias("component"))
+        found.append(cut(done.join(names, "colour").select("node", "component"), "component"))
+        nodes = cut(inner.join(reach, "node", "left_anti"), "nodes")
+        left = cut(_among(left, nodes), "edges")
+    else:
+        if nodes.limit(1).count():
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return reduce(DataFrame.union, found, nodes.select("node", F.col("node").alias("component")))
 
 
 def sink_component(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grove.functions.expressions import MOST
 from grove.operators.counting import count, sensitivity
 from grove.operators.sensitivity import smooth_sensitivity
 from grove.plans.joins import tree_join
@@ -15,9 +16,8 @@ from grove.plans.tree import JoinTree
 
 #: The value of every column of a dummy row (fixed value of the format).
 DUMMY = 100000007
-#: Padded results above this are refused.
+#: Padded results above this are refused where rows are made; sizes as such have no bound below a long's.
 MAX_PROTECTED_ROWS = 50_000_000
-MOST_ROWS = (1 << 31) - 1
 
 
 class PaddingTooLarge(ValueError):
@@ -43,7 +43,10 @@ def factor(epsilon: float, delta: float) -> float:
 
 
 def padding_stats(tree: JoinTree, frames: list[DataFrame], rows: int = 0, epsilon: float = 1.0, delta: float = 1e-9, smooth: bool = True) -> PaddingStats:
-    """The protected size: `rows` if that is given and not below the exact size, else the exact size and scaled sensitivity."""
+    """The protected size: `rows` if that is given and not below the exact size, else the exact size and scaled sensitivity.
+
+    The target is a long, saturating, and never below the exact size.
+    """
     exact = count(tree, frames)
     if rows > 0:
         return PaddingStats(exact, 0, "given", 0.0, max(exact, rows) - exact, max(exact, rows), epsilon, delta)
@@ -53,7 +56,7 @@ def padding_stats(tree: JoinTree, frames: list[DataFrame], rows: int = 0, epsilo
     else:
         s, source = sensitivity(tree, frames), "contribution"
     f = factor(epsilon, delta)
-    target = min(MOST_ROWS, max(1, exact + math.ceil(f * max(1, s))))
+    target = min(MOST, max(1, exact + math.ceil(f * max(1, s))))
     return PaddingStats(exact, s, source, f, target - exact, target, epsilon, delta)
 
 

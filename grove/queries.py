@@ -443,10 +443,12 @@ def smooth_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges_of(t(spark, d, "orders", "o_orderkey", "o_custkey").select((F.col("o_custkey") % 300).alias("a"), (F.col("o_orderkey") % 300).alias("b")), "a", "b")
+    """From customers to the customers that their orders' numbers fall on: a node a customer, so the graph grows with the tables."""
+    orders, n = t(spark, d, "orders", "o_orderkey", "o_custkey"), t(spark, d, "customer", "c_custkey").count()
+    return graph.edges_of(orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7919 % n + 1).alias("b")), "a", "b")
 
 
-_G = "g AS (SELECT DISTINCT CAST(o_custkey % 300 AS BIGINT) AS source, CAST(o_orderkey % 300 AS BIGINT) AS target FROM orders)"
+_G = "g AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS source, CAST(o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1 AS BIGINT) AS target FROM orders)"
 
 
 @query(f"WITH {_G} SELECT source, count(*) AS degree FROM g GROUP BY source")
@@ -477,14 +479,27 @@ def key_gini(spark: SparkSession, d: str) -> DataFrame:
     return graph.key_shape(t(spark, d, "lineitem"), "l_suppkey").withColumn("gini", F.round("gini", 9))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_G}, core(source, target, size, round) AS (
+  SELECT source, target, CAST(-1 AS BIGINT), 0 FROM g
+  UNION ALL
+  SELECT x.source, x.target, x.size, x.round FROM (SELECT source, target, count(*) OVER (PARTITION BY source) AS d, count(*) OVER () AS size, size AS before, round + 1 AS round FROM core) AS x
+    JOIN (SELECT source FROM core GROUP BY source HAVING count(*) >= 3) AS y ON x.target = y.source WHERE x.d >= 3 AND x.size <> x.before)
+SELECT source, target FROM core WHERE round = (SELECT max(round) FROM core)""")
 def kout_core(spark: SparkSession, d: str) -> DataFrame:
     return graph.kout_core(_edges(spark, d), 3)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_G}, n AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS rn FROM g) AS x WHERE rn <= 2),
+nodes AS (SELECT source AS a FROM n UNION SELECT target FROM n),
+reach(a, b) AS (SELECT a, a FROM nodes UNION SELECT reach.a, n.target FROM reach JOIN n ON reach.b = n.source),
+named AS (SELECT x.a AS node, min(x.b) AS component FROM reach AS x JOIN reach AS y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+e AS (SELECT n.source, n.target, p.component AS c1, q.component AS c2 FROM n JOIN named AS p ON n.source = p.node JOIN named AS q ON n.target = q.node),
+best AS (SELECT component FROM named WHERE component NOT IN (SELECT c1 FROM e WHERE c1 <> c2) GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT source, target FROM e WHERE c1 = c2 AND c1 IN (SELECT component FROM best)""")
 def sink_component(spark: SparkSession, d: str) -> DataFrame:
-    return graph.sink_component(graph.sampled_degree(_edges(spark, d), 2))
+    return graph.sink_component(graph.degree_aliases(_edges(spark, d), [2])[0])
 
 
 # --- changes, encryption, dialect ------------------------------------------------------------------------------------

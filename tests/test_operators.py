@@ -1,11 +1,14 @@
+import itertools
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grove.functions.expressions import MOST, hash_sample, times
 from grove.operators import graph, padding, scans
-from grove.operators.sensitivity import beta, evaluations, largest_k, residual, smooth_sensitivity
+from grove.operators.sensitivity import Bounds, Lattice, beta, evaluations, largest_k, residual, smooth_sensitivity
 from grove.plans.joins import tree_join
 from grove.plans.tree import SHAPES, JoinTree
 from grove.sources import readers, writers
@@ -43,6 +46,15 @@ def test_padding(spark):
     assert padding.size_holds(5, 5) and padding.size_holds(6, 5, True) and not padding.size_holds(6, 5) and padding.size_holds(0, -1)
 
 
+def test_padding_beyond_an_int(spark):
+    two = JoinTree.of([-1, 0], [-1, 0], [-1, 0])
+    many = spark.range(70_000).select(F.lit(1).alias("c0"))
+    s = padding.padding_stats(two, [many, many], smooth=False)
+    assert s.exact == 4_900_000_000 and s.padding == math.ceil(s.factor * 70_000) and s.target == s.exact + s.padding
+    with pytest.raises(padding.PaddingTooLarge):
+        padding.padded_join(two, [many, many])
+
+
 def test_residual_against_enumeration():
     bounds = {frozenset(x): v for x, v in (((), 1), ((0,), 3), ((1,), 2), ((2,), 5), ((0, 1), 4), ((0, 2), 9), ((1, 2), 7))}
     b = 0.3
@@ -64,6 +76,25 @@ def test_smooth_sensitivity_bounds(spark):
     assert smooth_sensitivity(SHAPES["tpcds_q85"], [None] * 8, 1.0).status == "tooExpensive"
 
 
+def test_bounds_against_joined_rows(spark):
+    """Counts are the largest number of joined rows that agree on the boundary; degrees are never below them."""
+    rng = np.random.default_rng(3)
+    tables = [[tuple(int(x) for x in rng.integers(0, 3, 2)) for _ in range(7)] for _ in range(3)]
+    chain = JoinTree.of([-1, 0, 1], [-1, "x0", "y1"], [-1, "x1", "x2"])
+    at = Bounds(chain, [spark.createDataFrame(rows, f"x{i} int, y{i} int") for i, rows in enumerate(tables)])
+    joins = {(0, 1): lambda a, b: a[0] == b[0], (1, 2): lambda a, b: a[1] == b[0]}
+    for chosen in ((0,), (1,), (2,), (0, 1), (1, 2), (0, 2)):
+        rows = [r for r in itertools.product(*[tables[i] for i in chosen]) if all(f(*(r[chosen.index(i)] for i in pair)) for pair, f in joins.items() if set(pair) <= set(chosen))]
+        sides = {0: ((0, 1), lambda r: r[0]), 1: ((1, 0), lambda r: r[0]), 2: ((1, 2), lambda r: r[1]), 3: ((2, 1), lambda r: r[0])}
+        edge = [(i, f) for (i, other), f in sides.values() if i in chosen and other not in chosen]
+        most = max(Counter(tuple(f(r[chosen.index(i)]) for i, f in edge) for r in rows).values(), default=0)
+        inside = frozenset(chosen)
+        counts = at.by_counts(inside, at.boundary(inside))
+        assert counts in (most, None) and at.by_degrees(inside, at.boundary(inside)) >= most
+    tight = Lattice(at)
+    assert all(tight.tightest(e).size <= n for e, n in tight.degrees().items())
+
+
 def test_scans(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 0), ("a", 3, 70_000), ("b", 1, None)], "k string, o int, w int")
     out = scans.expand(df, "w", "i")
@@ -87,6 +118,10 @@ def test_graph(spark):
     found = {r["node"]: r["component"] for r in graph.strong_components(e).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
     assert sorted(map(tuple, graph.sink_component(e).collect())) == [(4, 5), (5, 4)]
+    order = spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, 30)] + [(40, 41), (41, 40), (29, 40)], "source long, target long")
+    assert {r["node"]: r["component"] for r in graph.strong_components(order, rounds=12).collect()} == {n: n for n in range(30)} | {40: 40, 41: 40}
+    with pytest.raises(RuntimeError):
+        graph.strong_components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1)], "source long, target long"), rounds=1)
     k = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2), (4, 1), (4, 2), (1, 4), (5, 1)], "source long, target long")
     core = sorted(map(tuple, graph.kout_core(k, 2).collect()))
     assert (5, 1) not in core and (4, 1) in core and len(core) == 9

@@ -10,7 +10,7 @@ def test_same_rows_as_sql(same_rows, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(QUERIES) - set(ORACLE_SQL) == {"sampled_join_rows", "smooth_sensitivity", "kout_core", "sink_component"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"sampled_join_rows", "smooth_sensitivity"}
 
 
 def test_sampled_rows_are_join_rows(spark):

@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -134,7 +134,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(".,")
-        if stem != word and stem and stem[-1].lower()[-1].isalpha():
+        if stem != word and stem and normalize("NFC", stem[-1]).lower().isalpha():  # a letter, and one after composition
             ids = self[stem] + self[word[len(stem) :]]
         elif (lower := word.lower()).isalpha() and word.isalpha() and "\u03a3" not in word and is_normalized("NFC", word):
             seen = lower if lower.isascii() else "".join(self.letters[b] for b in lower.encode())

@@ -41,6 +41,17 @@ def test_word_ids_are_the_librarys(words, text):
     assert np.frombuffer(next(packing._encoded(WORD, [text])), "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_before_a_stop(words):
+    """Also those that composition takes apart: a mark that it leaves at the end is no letter any more."""
+    known = packing.Words(WORD)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in " \n"]
+    for form in ("{}.", "a{}.,"):
+        for i in range(0, len(chars), 20_000):
+            texts = [form.format(c) for c in chars[i : i + 20_000]]
+            bad = [t for t, e in zip(texts, words.encode_batch(texts, add_special_tokens=False)) if known[t] != np.array(e.ids, "<u4").tobytes()]
+            assert not bad
+
+
 def test_odd_texts(tokenizer, words):
     v = bpe.vocabulary(BYTE)
     for text in ODD:

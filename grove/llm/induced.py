@@ -1,281 +1,401 @@
 """Suffix arrays with common-prefix values by external induced sorting.
 
 The suffixes that start a rising stretch after a falling one (the seeds) are sorted first: their stretches get names, and
-the string of names is sorted by the same procedure. From the seeds all others are induced: a scan over the sorted suffixes
-pushes each one's predecessor to the queue of its first symbol, once upwards for falling and once downwards for rising
-suffixes. The queues together are a priority queue by first symbol, whose entries are suffixes with the common prefix they
-have with the entry before; they are kept in blocks that go to a temporary file when memory is used up, and are read back
-in the order they were written. A scan handles a block at a time.
-
-The prefix of two entries that follow each other in a queue is one symbol more than the least prefix met by the scan between
-their sources, so values are carried along and texts are not compared again. Prefixes are counted up to a cap.
+the string of names is sorted by the same procedure, down to a string whose names all differ. From the seeds all other
+suffixes are induced: a scan over the sorted suffixes pushes each one's predecessor, once upwards for falling and once
+downwards for rising suffixes. A push carries the suffix and its common prefix with the one pushed before it under the same
+first symbol. The pushes are one priority queue by first symbol: a scanned block's pushes are kept together in order of
+their buckets, in memory up to a bound and in a temporary file beyond it, and are read back when the scan reaches their
+bucket. A bucket is a symbol, or a range of symbols where there are many, as names are; in such a bucket the scan goes on up
+to the first symbol that is still to receive a push, so that its blocks stay long. Texts beyond the same bound are mapped
+from a file. The files are scratch of one sort in one task, unlinked from the start: nobody else needs them, and a task that
+runs again makes its own.
+
+The prefix of two pushes that follow each other is one symbol more than the least prefix met by the scan between their
+sources, and the prefixes of names give those of the seeds, so values are carried along. Prefixes count up to a cap.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
-#: Where a string has more distinct names, one queue each would be all overhead: prefix doubling sorts the names instead.
-QUEUES = 1024
-BLOCK = 1 << 18
+#: Buckets of the priority queue at most, and suffixes of a bucket where it holds many symbols, about.
+QUEUES, BUCKET = 512, 1 << 14
+#: Suffixes that are scanned at once, and those of a bucket with many symbols that are looked at for it.
+BLOCK, AHEAD = 1 << 16, 1 << 13
+#: Bytes of queue entries in memory in one sort, and of a text that is not mapped from a file.
+MEMORY = 2 << 20
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Spool:
-    """Memory for the blocks of all queues of a sort; beyond `limit` bytes blocks go to one temporary file."""
+class Store:
+    """Blocks of queue entries, in memory up to `limit` bytes and in one temporary file beyond; counts what it did."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.used, self.file = limit, 0, None
+    def __init__(self, limit: int = MEMORY) -> None:
+        self.limit, self.used, self.file, self.end = limit, 0, None, 0
+        self.recursions = self.on_disk = self.bytes_on_disk = 0
 
     def put(self, block: np.ndarray):
         if self.used + block.nbytes <= self.limit:
             self.used += block.nbytes
             return block
         if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        at = self.file.seek(0, 2)
+            self.file = tempfile.TemporaryFile(buffering=0)
+        at, self.end = self.end, self.end + block.nbytes
+        self.file.seek(at)
         self.file.write(block.tobytes())
-        return at, block.shape, block.dtype
+        self.on_disk += 1
+        self.bytes_on_disk += block.nbytes
+        return at, block.dtype
+
+    def get(self, parts: list) -> np.ndarray:
+        """The rows a to b of each part (held, a, b), one after the other."""
+        out = []
+        for held, a, b in parts:
+            if not isinstance(held, np.ndarray):
+                at, kind = held
+                self.file.seek(at + 2 * a * kind.itemsize)
+                out.append(np.frombuffer(self.file.read(2 * (b - a) * kind.itemsize), kind).reshape(-1, 2))
+            else:
+                out.append(held[a:b])
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
-    def get(self, held, last: bool = False) -> np.ndarray:
-        if isinstance(held, np.ndarray):
-            self.used -= held.nbytes * last
-            return held
-        at, shape, kind = held
-        self.file.seek(at)
-        return np.frombuffer(self.file.read(int(np.prod(shape)) * kind.itemsize), kind).reshape(shape)
+    def clear(self) -> None:
+        """Forgets all blocks."""
+        self.used = self.end = 0
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-class Queue:
-    """Entries of one first symbol: rows of suffixes and of their prefixes with the entry before."""
-
-    def __init__(self, spool: Spool) -> None:
-        self.spool, self.blocks = spool, []
-
-    def push(self, suffixes: np.ndarray, prefixes: np.ndarray) -> None:
-        if len(suffixes):
-            self.blocks.append(self.spool.put(np.stack((suffixes, prefixes))))
-
-    def get(self, i: int) -> np.ndarray:
-        return self.spool.get(self.blocks[i])
-
-    def all(self) -> np.ndarray:
-        if not self.blocks:
-            return np.zeros((2, 0), np.int64)
-        out = np.concatenate([self.spool.get(b, True) for b in self.blocks], axis=1)
-        self.blocks = []
-        return out
+class Text:
+    """A string of small integers, read by symbols or by machine words of several symbols."""
 
+    def __init__(self, symbols: np.ndarray, limit: int = MEMORY) -> None:
+        n, kind = len(symbols), np.dtype(np.uint8 if not len(symbols) or symbols.max() < 256 else ">u2" if symbols.max() < 65536 else ">u4")
+        size = n * kind.itemsize + 8
+        if size > limit:
+            with tempfile.TemporaryFile() as file:
+                whole = np.memmap(file, np.uint8, "w+", shape=(size,))
+        else:
+            whole = np.zeros(size, np.uint8)
+        whole[: n * kind.itemsize].view(kind)[:] = symbols
+        self.n, self.each, self.bits = n, 8 // kind.itemsize, 8 * kind.itemsize
+        self.symbols = np.frombuffer(whole, kind, n)
+        self.words = np.ndarray((n + 1,), ">u8", whole, 0, (kind.itemsize,))
+
+    def word(self, at: np.ndarray) -> np.ndarray:
+        """The next symbols from each place, the first in the highest bits; zero beyond the end."""
+        return self.words[at].astype(np.uint64)
+
+    def rising(self) -> np.ndarray:
+        """Whether each suffix is smaller than the one after it."""
+        s = self.symbols
+        change = np.flatnonzero(s[1:] != s[:-1])
+        ends = np.append(change, self.n - 1)
+        return np.repeat(np.append(s[change + 1] > s[change], False), np.diff(ends, prepend=-1))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where runs of one symbol start."""
+        return np.append(0, np.flatnonzero(self.symbols[1:] != self.symbols[:-1]) + 1)
+
+    def run_start(self, at: np.ndarray) -> np.ndarray:
+        return self.starts[np.searchsorted(self.starts, at, "right") - 1]
+
+    def common(self, a: np.ndarray, b: np.ndarray, cap: int, known: np.ndarray | int = 0) -> np.ndarray:
+        """The common prefix of suffixes a[k] and b[k], up to the cap; the first `known` symbols are known to be equal."""
+        out = np.zeros(len(a), np.int64) + known
+        most = np.minimum(self.n - np.maximum(a, b), cap)
+        open_ = np.flatnonzero(out < most)
+        while len(open_):
+            differ = self.word(a[open_] + out[open_]) ^ self.word(b[open_] + out[open_])
+            gain = np.full(len(open_), self.each)
+            for k in range(self.each - 1, -1, -1):
+                gain[differ >> np.uint64(64 - self.bits * (k + 1)) != 0] = k
+            out[open_] += gain
+            open_ = open_[(gain == self.each) & (out[open_] < most[open_])]
+        return np.minimum(out, most)
 
-def rising(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the one after it."""
-    change = np.flatnonzero(text[1:] != text[:-1])
-    ends = np.append(change, len(text) - 1)
-    up = np.append(text[change + 1] > text[change], False)
-    return np.repeat(up, np.diff(ends, prepend=-1))
 
+def stretch_names(text: Text, seeds: np.ndarray) -> np.ndarray:
+    """The rank of each seed's stretch, up to and with the next seed; equal stretches share it.
 
-def stretch_names(text: np.ndarray, up: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The rank of each seed's stretch, up to and with the next seed; equal stretches share it."""
-    symbol = text.astype(np.int64) * 2 + up + 1
-    bits = max(2, int(symbol.max() + 1).bit_length())
-    each = max(1, 62 // bits)
-    end = np.append(seeds[1:] + 1, len(text))
+    Of two stretches one of which begins with the other the longer is smaller, as it falls where the other's last symbol
+    starts to rise; but the last stretch, which the text's end cuts, is smaller than those that it begins.
+    """
+    end = np.append(seeds[1:] + 1, text.n)
+    length = end - seeds
+    length[-1] = text.n + 1
     name = np.zeros(len(seeds), np.int64)
     at, open_ = seeds.copy(), np.arange(len(seeds))
-    shared = np.ones(len(seeds), bool)
     while len(open_):
-        word = np.zeros(len(open_), np.int64)
-        for k in range(each):
-            place = at[open_] + k
-            inside = place < end[open_]
-            word = (word << bits) | np.where(inside, symbol[np.minimum(place, len(text) - 1)], 0)
-        whole = np.zeros(len(seeds), np.int64)
-        whole[open_] = word
-        order = np.lexsort((whole, name))
-        new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (whole[order][1:] != whole[order][:-1])))
-        rank = np.flatnonzero(new)
-        name = np.empty_like(name)
-        name[order] = np.repeat(rank, np.diff(np.append(rank, len(order))))
-        shared = np.bincount(name, minlength=len(seeds))[name] > 1
-        at[open_] += each
-        open_ = np.flatnonzero((at < end) & shared)
-    return np.unique(name, return_inverse=True)[1]
-
-
-def doubled(names: np.ndarray, reach: int) -> np.ndarray:
-    """Suffixes of a string of names in order, by doubling; ties over `reach` names are left in text order."""
-    rank, size = names.astype(np.int64), 1
-    n = len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        if size < n:
-            after[:-size] = rank[size:] + 1
-        order = np.lexsort((after, rank))
-        new = np.concatenate(([True], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])))
-        place = np.cumsum(new) - 1
-        rank = np.empty(n, np.int64)
-        rank[order] = place
-        size *= 2
-        if place[-1] == n - 1 or size >= reach or size >= n:
-            return order
-
-
-class Words:
-    """Eight symbols of a text at a time, to compare suffixes with."""
-
-    def __init__(self, text: np.ndarray, cap: int) -> None:
-        self.text, self.cap = text, cap
-        self.small = len(text) and int(text.max()) < 255
-        if self.small:
-            padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-            self.words = np.zeros(len(text), np.uint64)
-            for k in range(8):
-                self.words = self.words << np.uint64(8) | padded[k : k + len(text)]
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The common prefix of suffixes a[k] and b[k], up to the cap."""
-        out = np.zeros(len(a), np.int64)
-        n, open_ = len(self.text), np.arange(len(a))
-        step = 8 if self.small else 1
-        source = self.words if self.small else self.text
-        while len(open_):
-            x, y = a[open_] + out[open_], b[open_] + out[open_]
-            inside = (x < n) & (y < n)
-            differ = np.where(inside, source[np.minimum(x, n - 1)] ^ source[np.minimum(y, n - 1)], 1 if step == 1 else np.uint64(1) << np.uint64(63))
-            if step == 1:
-                gain = (differ == 0).astype(np.int64)
-            else:
-                gain = np.full(len(open_), 8)
-                odd = differ != 0
-                # leading zero bytes of the difference
-                d = differ[odd]
-                g = np.zeros(len(d), np.int64)
-                for s in (32, 16, 8):
-                    high = d >> np.uint64(64 - s) == 0
-                    g += np.where(high, s // 8, 0)
-                    d = np.where(high, d << np.uint64(s), d)
-                gain[odd] = g
-            out[open_] += gain
-            open_ = open_[(gain == step) & (out[open_] < self.cap)]
-        return np.minimum(out, self.cap)
+        word = text.word(np.minimum(at[open_], text.n))
+        inside = np.clip(end[open_] - at[open_], 0, text.each)
+        cut = inside < text.each
+        word[cut] |= np.where(open_[cut] < len(seeds) - 1, _ALL >> (inside[cut] * text.bits).astype(np.uint64), np.uint64(0))
+        order = np.lexsort((word, name[open_]))
+        mine, old = word[order], name[open_][order]
+        new = np.concatenate(([True], (old[1:] != old[:-1]) | (mine[1:] != mine[:-1])))
+        name[open_[order]] = old + _starts(new) - _starts(np.concatenate(([True], old[1:] != old[:-1])))
+        at[open_] += text.each
+        mine = name[open_]
+        more = (np.bincount(mine) > 1) & (np.bincount(mine, at[open_] < end[open_]) > 0)
+        open_ = open_[more[mine]]
+    order = np.lexsort((-length, name))
+    new = np.concatenate(([False], (name[order][1:] != name[order][:-1]) | (length[order][1:] != length[order][:-1])))
+    name[order] = np.cumsum(new)
+    return name
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """For each place the last one up to it that is marked."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _least(p: np.ndarray, low: np.ndarray, high: np.ndarray, groups: int) -> np.ndarray:
+    """min(p[low[k]: high[k] + 1]) for each k; groups: how often p is covered by these ranges, at most."""
+    if groups * len(p) < 1 << 14:
+        ends = np.empty(2 * len(low), np.int64)
+        ends[::2], ends[1::2] = low, high + 1
+        return np.minimum.reduceat(np.append(p, p[-1]), ends)[::2]
+    level = np.frexp((high - low + 1).astype(float))[1] - 1
+    out, size, table = np.empty(len(low), p.dtype), 1, p
+    for k in range(int(level.max()) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] - size + 1])
+        table, size = np.minimum(table[:-size], table[size:]) if len(table) > size else table, 2 * size
+    return out
 
 
 class _Scan:
-    """Pushes the predecessors of scanned suffixes to the queues, with their prefixes."""
-
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, spool: Spool, symbols: int, cap: int) -> None:
-        self.text, self.wanted, self.cap = text, wanted, cap
-        self.queues = [Queue(spool) for _ in range(symbols)]
-        self.low = np.full(symbols, -1, np.int64)  # least prefix since the last source of a queue; -1: it has no entry yet
-
-    def feed(self, suffixes: np.ndarray, prefixes: np.ndarray) -> None:
-        """Scans suffixes, each with its prefix with the one scanned before it."""
+    """One scan over all suffixes: upwards if sign is 1, downwards if it is -1. `wanted` says which suffixes it pushes."""
+
+    def __init__(self, text: Text, wanted: np.ndarray, store: Store, cap: int, sign: int) -> None:
+        self.text, self.wanted, self.store, self.cap, self.sign = text, wanted, store, cap, sign
+        symbols = int(text.symbols.max()) + 1
+        self.kind = np.int32 if text.n < 1 << 31 and cap < 1 << 31 else np.int64
+        buckets = symbols if symbols <= QUEUES else min(QUEUES, 1 + text.n // BUCKET)
+        self.each = -(-symbols // buckets)  # symbols of a bucket
+        self.queues: list[list] = [[] for _ in range(-(-symbols // self.each))]
+        # of each symbol the block with its last source (-1: none yet) and the least prefix after that in the block
+        self.seen, self.rest = np.full(symbols, -1, np.int64), np.zeros(symbols, np.int64)
+        # blocks whose least prefix is below those of all later ones, with these prefixes
+        self.number, self.marks, self.minima = 1, [], []
+
+    def push(self, suffixes: np.ndarray, prefixes: np.ndarray, edges: list[int], buckets: list[int]) -> None:
+        """Suffixes sorted by first symbol: those from edges[k] to edges[k + 1] go to buckets[k]."""
+        held = self.store.put(np.stack((suffixes, prefixes), axis=1).astype(self.kind))
+        for c, a, b in zip(buckets, edges, edges[1:]):
+            self.queues[c].append((held, a, b))
+
+    def blocks(self, c: int) -> Iterator[np.ndarray]:
+        """A bucket's pushes in the order they came, some at a time; it may grow on the way."""
+        queue, i = self.queues[c], 0
+        while i < len(queue):
+            parts, n = [], 0
+            while i < len(queue) and n < BLOCK:
+                parts.append(queue[i])
+                n += queue[i][2] - queue[i][1]
+                i += 1
+            yield self.store.get(parts)
+
+    def backwards(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A bucket's suffixes, the last first, each with its prefix with the one after it; the first with zero."""
+        queue = self.queues[c]
+        i, carry = len(queue), 0
+        while i:
+            parts, n = [], 0
+            while i and n < BLOCK:
+                i -= 1
+                parts.append(queue[i])
+                n += queue[i][2] - queue[i][1]
+            block = self.store.get(parts[::-1])[::-1]
+            yield block[:, 0], np.append(carry, block[:-1, 1])
+            carry = block[-1, 1]
+
+    def run(self, c: int, fixed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scans a bucket: under each symbol its pushes, then those suffixes of `fixed`, which come in the scan's order.
+
+        Gives the suffixes in that order, their prefixes with the one before, and which of them are fixed.
+        """
+        if self.each > 1:
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield from self._mixed(c, *(np.concatenate(x) for x in zip(none, *fixed)))
+            return
+        last = None
+        for block in self.blocks(c):
+            self.feed(block[:, 0], block[:, 1])
+            last = block[-1:, 0]
+            yield block[:, 0], block[:, 1], np.zeros(len(block), bool)
+        for suffixes, prefixes in fixed:
+            if last is not None and len(suffixes):
+                prefixes = np.append(self.text.common(last, suffixes[:1], self.cap), prefixes[1:])
+                last = None
+            self.feed(suffixes, prefixes)
+            yield suffixes, prefixes, np.ones(len(suffixes), bool)
+
+    def _keyed(self, suffixes: np.ndarray, fixed: np.ndarray | int = 0) -> np.ndarray:
+        return 2 * self.sign * self.text.symbols[suffixes].astype(np.int64) + fixed
+
+    def _mixed(self, c: int, suffixes: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        key = self._keyed(suffixes, 1)
+        last, last_key = np.zeros(1, np.int64), np.array([1 << 62])
+        while len(suffixes) or self.queues[c]:
+            if self.queues[c]:
+                new = self.store.get(self.queues[c])
+                self.queues[c] = []
+                mine = self._keyed(new[:, 0])
+                order = np.argsort(mine, kind="stable")
+                at = np.searchsorted(key, mine[order], "right")
+                suffixes, prefixes, key = (np.insert(x, at, y[order]) for x, y in ((suffixes, new[:, 0]), (prefixes, new[:, 1]), (key, mine)))
+            n = len(key) if len(key) <= AHEAD else int(np.searchsorted(key, key[AHEAD], "right"))
+            # a push to another symbol of the bucket comes before that symbol's pushes are scanned, one to its own symbol after
+            before = suffixes[:n] - 1
+            symbol = self.text.symbols[before]
+            own = 2 * self.sign * symbol.astype(np.int64)
+            goes = self.wanted[before] & (before >= 0) & (symbol // self.each == c)
+            again = goes & (own == key[:n])
+            target = np.where(goes, own - ~again, 1 << 62)
+            blocked = key[1:n] > np.minimum.accumulate(target)[:-1]
+            stop = int(blocked.argmax()) + 1 if blocked.any() else n
+            now, pre, keys = suffixes[:stop], prefixes[:stop].astype(np.int64), key[:stop]
+            fixed = keys & 1 > 0
+            ahead, ahead_key = np.append(last, now[:-1]), np.append(last_key, keys[:-1])
+            meet = np.flatnonzero(fixed & (keys - ahead_key == 1))
+            pre[meet] = self.text.common(ahead[meet], now[meet], self.cap)
+            self.feed(now, pre, False)
+            last, last_key = now[-1:], keys[-1:]
+            suffixes, prefixes, key = suffixes[stop:], prefixes[stop:], key[stop:]
+            yield now, pre, fixed
+            if again[:stop].any():  # then the block ends with all pushes of that symbol
+                mine = keys == last_key
+                now, pre = self._runs(now[mine], pre[mine])
+                self.feed(now, pre, False)
+                last = now[-1:]
+                yield now, pre, np.zeros(len(now), bool)
+
+    def _runs(self, suffixes: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What all of a symbol's pushes push to that symbol, and these again, until their runs of it begin; with prefixes."""
+        runs = suffixes - self.text.run_start(suffixes)
+        row = np.repeat(np.arange(len(suffixes)), runs)
+        nth = 1 + np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+        order = np.argsort(nth, kind="stable")
+        row, nth = row[order], nth[order]
+        out = suffixes[row].astype(np.int64) - nth
+        first = np.concatenate(([True], nth[1:] != nth[:-1]))
+        shared, rest = np.empty(len(out), np.int64), np.flatnonzero(~first)
+        if len(rest):
+            shared[rest] = nth[rest] + _least(prefixes, row[rest - 1] + 1, row[rest], int(nth[-1]))
+        at = np.flatnonzero(first)
+        shared[at] = self.text.common(np.append(suffixes[-1:], out[:-1])[at], out[at], self.cap, np.minimum(nth[at] - 1, self.cap))
+        return out, np.minimum(shared, self.cap)
+
+    def feed(self, suffixes: np.ndarray, prefixes: np.ndarray, runs: bool = True) -> None:
+        """Scans suffixes, each with its prefix with the one scanned before it; without runs, none is pushed to its own symbol."""
         for i in range(0, len(suffixes), BLOCK):
-            self._block(suffixes[i : i + BLOCK], prefixes[i : i + BLOCK])
+            self._block(suffixes[i : i + BLOCK], prefixes[i : i + BLOCK], runs)
 
-    def _block(self, suffixes: np.ndarray, prefixes: np.ndarray) -> None:
+    def _block(self, suffixes: np.ndarray, prefixes: np.ndarray, runs: bool) -> None:
         before = suffixes - 1
-        real = before >= 0
-        real[real] = self.wanted[before[real]]
-        at = np.flatnonzero(real)
-        before = before[at]
-        symbol = self.text[before]
-        order = np.argsort(symbol, kind="stable")
-        edges = np.flatnonzero(np.diff(symbol[order], prepend=-1))
-        old = self.low
-        self.low = np.where(old < 0, old, np.minimum(old, int(prefixes.min())))
-        for a, b in zip(edges, np.append(edges[1:], len(order))):
-            mine = at[order[a:b]]
-            c = int(symbol[order[a]])
-            cuts = np.concatenate(([0], mine + 1))
-            tail = cuts[-1] == len(prefixes)
-            least = np.minimum.reduceat(prefixes, cuts[:-1] if tail else cuts)
-            found = least[: len(mine)]
-            first = found[0] if old[c] < 0 else min(found[0], old[c])
-            shared = np.minimum(found + 1, self.cap)
-            shared[0] = 0 if old[c] < 0 else min(first + 1, self.cap)
-            self.queues[c].push(before[order[a:b]], shared)
-            self.low[c] = self.cap if tail else least[-1]
-
-
-def induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, seed_prefixes: np.ndarray, cap: int, spool: Spool, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order with their prefixes with the one before, from the seeds in order with theirs."""
-    symbols = int(text.max()) + 1
-    n = len(text)
-    heads = np.searchsorted(text[seeds], np.arange(symbols + 1))
-    falling = _Scan(text, ~up, spool, symbols, cap)
-    falling.queues[text[n - 1]].push(np.array([n - 1]), np.array([0]))
-    falling.low[text[n - 1]] = 0  # the empty suffix, which shares nothing, was its source
-    for c in range(symbols):
-        queue, i, last = falling.queues[c], 0, None
-        while i < len(queue.blocks):  # grows while it is scanned: runs of one symbol
-            block = queue.get(i)
-            falling.feed(block[0], block[1])
-            last = block[0, -1]
-            i += 1
+        goes = self.wanted[before] & (before >= 0)
+        if not runs:
+            goes &= self.text.symbols[before] != self.text.symbols[suffixes]
+        at = np.flatnonzero(goes)
+        if len(at):
+            symbol = self.text.symbols[before[at]]
+            at = at[np.argsort(symbol, kind="stable")]
+            before = before[at]
+            symbol = self.text.symbols[before].astype(np.int64)
+            heads = np.flatnonzero(np.diff(symbol, prepend=-1))
+            low = np.empty_like(at)
+            low[1:] = at[:-1] + 1
+            low[heads] = 0
+            shared = _least(prefixes, low, at, len(heads)).astype(np.int64) + 1
+            mine = symbol[heads]
+            old = self.seen[mine]
+            since = np.append(self.minima, self.cap)[np.searchsorted(self.marks, old, "right")]
+            shared[heads] = np.where(old < 0, 0, np.minimum(shared[heads], np.minimum(self.rest[mine], since) + 1))
+            ends = np.append(heads[1:], len(at))
+            self.seen[mine] = self.number
+            self.rest[mine] = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], self.cap)[at[ends - 1] + 1]
+            bucket = mine // self.each
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            self.push(before, np.minimum(shared, self.cap), [*heads[first].tolist(), len(at)], bucket[first].tolist())
+        least = int(prefixes.min())
+        while self.minima and self.minima[-1] >= least:
+            self.minima.pop()
+            self.marks.pop()
+        self.minima.append(least)
+        self.marks.append(self.number)
+        self.number += 1
+
+
+def _induced(text: Text, up: np.ndarray, seeds: np.ndarray, seed_prefixes: np.ndarray, cap: int, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes, the greatest first, with their prefixes with the one before, from the seeds in rising order with theirs."""
+    falling, climbing = _Scan(text, ~up, store, cap, 1), _Scan(text, up, store, cap, -1)
+    end = int(text.symbols[text.n - 1])
+    falling.push(np.array([text.n - 1]), np.array([0]), [0, 1], [end // falling.each])
+    falling.seen[end] = falling.rest[end] = 0  # its source was the empty suffix, which shares nothing
+    heads = np.searchsorted(text.symbols[seeds], np.arange(len(falling.queues) + 1) * falling.each)
+    for c in range(len(falling.queues)):
         a, b = heads[c], heads[c + 1]
-        if b > a:
-            prefixes = seed_prefixes[a:b].copy()
-            prefixes[0] = 0 if last is None else words.common(np.array([last]), seeds[a : a + 1])[0]
-            falling.feed(seeds[a:b], prefixes)
-    climbing = _Scan(text, up, spool, symbols, cap)
-    parts: list[np.ndarray] = []
-    for c in range(symbols - 1, -1, -1):
-        queue, i = climbing.queues[c], 0
-        while i < len(queue.blocks):
-            block = queue.get(i)
-            climbing.feed(block[0], block[1])
-            i += 1
-        mine = queue.all()  # from the greatest down; prefixes are with the greater one
-        lower = falling.queues[c].all()
-        join = 0
-        if mine.shape[1] and lower.shape[1]:
-            join = words.common(mine[0, -1:], lower[0, -1:])[0]
-        if lower.shape[1]:
-            down = lower[0, ::-1]
-            prefixes = np.concatenate(([join], lower[1, :0:-1]))
-            climbing.feed(down, prefixes)
-        if mine.shape[1]:
-            parts.append(np.stack((mine[0, ::-1], np.concatenate(([join], mine[1, :0:-1])))))
-        if lower.shape[1]:
-            parts.append(np.stack((lower[0], np.concatenate(([0], lower[1, 1:])))))
-    out = np.concatenate(parts[::-1], axis=1)
-    return out[0], out[1]
-
-
-def suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a string of small integers in order, and the prefix of each with the one before, up to the cap.
+        kept = []
+        for suffixes, prefixes, fixed in falling.run(c, iter([(seeds[a:b], seed_prefixes[a:b])] if b > a else [])):
+            if falling.each > 1 and not fixed.all():  # where symbols share a bucket it is kept in the order found
+                block = np.stack((suffixes[~fixed], prefixes[~fixed]), axis=1).astype(falling.kind)
+                kept.append((store.put(block), 0, len(block)))
+        if falling.each > 1:
+            falling.queues[c] = kept
+    for c in range(len(falling.queues) - 1, -1, -1):
+        for suffixes, prefixes, _ in climbing.run(c, falling.backwards(c)):
+            yield suffixes, prefixes
+    store.clear()
+
+
+def _sorted_seeds(text: Text, seeds: np.ndarray, cap: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds in order, and the prefix of each with the one before."""
+    names = stretch_names(text, seeds)
+    if int(names.max()) + 1 == len(names):
+        order, equal = np.argsort(names), np.zeros(len(names), np.int64)
+    else:
+        store.recursions += 1
+        order, equal = _ascending(Text(names, store.limit), cap // 2 + 1, store)  # a stretch has two symbols of its own at least
+    ordered = seeds[order]
+    late = np.maximum(order[:-1], order[1:])  # of two seeds that follow each other that further on in the text
+    known = np.append(seeds, text.n)[np.minimum(late + equal[1:], len(seeds))] - seeds[late]
+    return ordered, np.append(0, text.common(ordered[:-1], ordered[1:], cap, np.minimum(known, cap)))
+
+
+def descending(text: Text, cap: int, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes, the greatest first, some at a time, each with its prefix with the one before it, up to the cap.
 
     Suffixes that agree on more than cap symbols may stand in either order.
     """
-    text = np.asarray(text, np.int64)
-    n = len(text)
-    if n < 2:
-        return np.arange(n), np.zeros(n, np.int64)
-    up = rising(text)
+    if text.n < 2 or cap < 2:
+        order = np.argsort(text.symbols, kind="stable")[::-1]
+        yield order, np.append(0, np.diff(text.symbols[order].astype(np.int64)) == 0) * cap
+        return
+    up = text.rising()
     seeds = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    words = Words(text, cap)
-    if len(seeds):
-        names = stretch_names(text, up, seeds)
-        distinct = int(names.max()) + 1
-        if distinct == len(names):
-            order = np.argsort(names)
-        elif distinct > QUEUES:
-            order = doubled(names, cap)
-        else:
-            order = suffixes(names, cap, memory)[0]
-        seeds = seeds[order]
-        prefixes = np.concatenate(([0], words.common(seeds[:-1], seeds[1:])))
-    else:
-        prefixes = np.zeros(0, np.int64)
-    spool = Spool(memory)
+    ordered, prefixes = _sorted_seeds(text, seeds, cap, store) if len(seeds) else (seeds, seeds)
+    yield from _induced(text, up, ordered, prefixes, cap, store)
+
+
+def _ascending(text: Text, cap: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    order, prefix = (np.concatenate(x)[::-1].astype(np.int64) for x in zip(*descending(text, cap, store)))
+    return order, np.append(0, prefix[:-1])
+
+
+def suffixes(text: np.ndarray, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a string of small integers in order, and the prefix of each with the one before, up to the cap."""
+    store = Store(memory)
     try:
-        return induce(text, up, seeds, prefixes, cap, spool, words)
+        return _ascending(Text(np.asarray(text), memory), cap, store) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     finally:
-        spool.close()
+        store.close()

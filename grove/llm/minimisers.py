@@ -7,19 +7,21 @@ fixed greatest size, by the first bits of the hash; a false hit sends a segment
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from grove.llm import spans as sp
 from grove.llm.common import buckets_for
 
-#: The bitmap has 2 ** BITS[0] bits at least and 2 ** BITS[1] (128 MB) at most.
-BITS = (20, 30)
-#: Bits of a minimiser's hash that are counted by.
-HASH = 48
+#: Bits of a minimiser's hash that it is counted by, and the first of them, by which ranges are made.
+HASH, HEAD = 48, 24
+#: The bitmap has 2 ** BITS[0] bits at least, HEAD + 3 so that ranges are whole bytes, and 2 ** BITS[1] (128 MB) at most.
+BITS = (HEAD + 3, 30)
 
 
 def least(h: np.ndarray, width: int) -> np.ndarray:
@@ -41,37 +43,61 @@ def chosen(h: np.ndarray, at: np.ndarray, minimiser: np.ndarray, reach: int) ->
     return ~least(~around, reach + 1)[: len(h)] == h
 
 
-def _counted(batches: Iterator[pd.DataFrame], select: Callable[[list[bytes]], np.ndarray], ranges: int, chunk: int) -> Iterator[pd.DataFrame]:
-    for _, _, texts in sp.chunks(batches, chunk):
+def _counted(batches: Iterator[pd.DataFrame], select: Callable[[list[bytes]], np.ndarray], ranges: int, chunk: int, cut: sp.Cut) -> Iterator[pd.DataFrame]:
+    for _, _, _, texts in sp.chunks(batches, chunk, cut):
         place, n = np.unique((select(texts) >> np.uint64(64 - HASH)).astype(np.int64), return_counts=True)
-        part = (place >> 24) * ranges >> (HASH - 24)
+        part = (place >> (HASH - HEAD)) * ranges >> HEAD
         for s in np.unique(part):
             mine = part == s
             body = np.diff(place[mine], prepend=0).tobytes() + np.minimum(n[mine], 2).astype(np.uint8).tobytes()
             yield pd.DataFrame([(int(s), zstandard.compress(body, 1))], columns=["bucket", "body"])
 
 
-def _slices(frame: pd.DataFrame, bits: int) -> pd.DataFrame:
+def _segment(frame: pd.DataFrame, ranges: int, bits: int) -> pd.DataFrame:
+    """A range's bytes of the bitmap: a range begins where a hash's first HEAD bits say so, which is the start of a byte."""
+    s = int(frame["bucket"].iloc[0])
+    low, high = (-(-(x << HEAD) // ranges) << (bits - HEAD) for x in (s, s + 1))
     places, counts = [], []
     for body in map(zstandard.decompress, frame["body"]):
         n = len(body) // 9
         places.append(np.cumsum(np.frombuffer(body, "<i8", n)))
         counts.append(np.frombuffer(body, np.uint8, n, 8 * n))
     place, at = np.unique(np.concatenate(places), return_inverse=True)
-    twice = np.unique(place[np.bincount(at, np.concatenate(counts)) > 1] >> (HASH - bits))
-    return pd.DataFrame({"places": [zstandard.compress(np.diff(twice, prepend=0).astype("<i8").tobytes(), 1)]})
+    flags = np.zeros(high - low, bool)
+    flags[(place[np.bincount(at, np.concatenate(counts)) > 1] >> (HASH - bits)) - low] = True
+    return pd.DataFrame({"at": [low // 8], "body": [zstandard.compress(np.packbits(flags).tobytes(), 1)]})
 
 
-def repeated(own: DataFrame, select: Callable[[list[bytes]], np.ndarray], size: int, expected: int, chunk: int) -> tuple[bytes, int]:
-    """The bitmap, packed and compressed, and the number of its address bits. own: doc_id, th and text; select: the hashes
-    of a chunk's minimisers, one for each place; size: bytes of all texts; expected: how many minimisers, about."""
+@dataclass(frozen=True)
+class Bitmap:
+    """Marks by hash: compressed segments, in a broadcast, and the number of address bits."""
+
+    segments: Broadcast
+    bits: int
+
+
+def repeated(own: DataFrame, select: Callable[[list[bytes]], np.ndarray], size: int, expected: int, chunk: int, cut: sp.Cut) -> Bitmap:
+    """own: doc_id, th and text; select: the hashes of a chunk's minimisers, one for each place; size: bytes of all texts;
+    expected: how many minimisers, about; cut: how long texts are cut (a minimiser at a cut may count twice: a false hit).
+
+    Each range of hashes makes its own bytes of the bitmap, and the driver passes them on compressed: never the hits, and
+    never more than the bitmap's greatest size.
+    """
     bits = min(BITS[1], max(BITS[0], (4 * expected).bit_length()))
     ranges = buckets_for(size, 64 << 20)
-    counted = own.mapInPandas(lambda b: _counted(b, select, ranges, chunk), "bucket bigint, body binary")
-    flags = np.zeros(1 << bits, bool)
-    for row in counted.groupBy("bucket").applyInPandas(lambda f: _slices(f, bits), "places binary").toLocalIterator():  # the bitmap in all
-        flags[np.cumsum(np.frombuffer(zstandard.decompress(row["places"]), "<i8"))] = True
-    return zstandard.compress(np.packbits(flags).tobytes(), 1), bits
+    counted = own.mapInPandas(lambda b: _counted(b, select, ranges, chunk, cut), "bucket bigint, body binary")
+    made = counted.groupBy("bucket").applyInPandas(lambda f: _segment(f, ranges, bits), "at bigint, body binary")
+    segments = [(r["at"], bytes(r["body"])) for r in made.toLocalIterator()]
+    return Bitmap(own.sparkSession.sparkContext.broadcast(segments), bits)  # 2 ** BITS[1] bits at most
+
+
+def unpacked(bitmap: Bitmap) -> np.ndarray:
+    """The bitmap's bytes."""
+    flags = np.zeros(1 << (bitmap.bits - 3), np.uint8)
+    for at, body in bitmap.segments.value:
+        part = np.frombuffer(zstandard.decompress(body), np.uint8)
+        flags[at : at + len(part)] = part
+    return flags
 
 
 def hits(flags: np.ndarray, bits: int, minimiser: np.ndarray) -> np.ndarray:

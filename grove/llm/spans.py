@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,21 +28,66 @@ def keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Ids, text hashes and encoded texts of about `size` bytes at a time."""
-    ids, ths, texts, held = [], [], [], 0
+Cut = Callable[[bytes, int], Iterator[tuple[int, bytes]]]
+
+
+def byte_pieces(width: int) -> Cut:
+    """Cuts a text such that each window of `width` bytes is in one piece; pieces come with the place of their first byte."""
+
+    def cut(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        for at in range(0, max(1, len(text) - width + 1), size):
+            yield at, text[at : at + size + width - 1]
+
+    return cut
+
+
+_SPACE = re.compile(rb"[\x09-\x0d ]")
+
+
+def word_pieces(width: int) -> Cut:
+    """Cuts a text such that each window of `width` words is in one piece; pieces come with the number of their first word."""
+
+    def cut(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        at, word, end = 0, 0, size
+        while True:
+            space = _SPACE.search(text, end)
+            end = space.start() if space else len(text)
+            piece = np.frombuffer(text, np.uint8, end - at, at)
+            blank = (piece == 32) | (piece >= 9) & (piece <= 13)
+            starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+            more = len(starts) - width + 1
+            if end == len(text) or more > 0:
+                yield word, text[at:end]
+                if end == len(text):
+                    return
+                at, word = at + int(starts[more]) if width > 1 else end, word + more
+                end = at + size
+            else:
+                end += size
+
+    return cut
+
+
+def chunks(batches: Iterator[pd.DataFrame], size: int, cut: Cut) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, text hashes, places and encoded texts of about `size` bytes at a time; longer texts in pieces, so that no text is a chunk."""
+    held, n = [], 0
     for batch in batches:
         for doc_id, th, text in zip(batch["doc_id"].tolist(), batch["th"].tolist(), batch["text"]):
-            ids.append(doc_id)
-            ths.append(th)
-            texts.append(text.encode())
-            held += len(texts[-1])
-            if held >= size:
-                yield np.array(ids, np.int64), np.array(ths, np.int64), texts
-                ids, ths, texts, held = [], [], [], 0
-                give_back()
-    if ids:
-        yield np.array(ids, np.int64), np.array(ths, np.int64), texts
+            text = text.encode()
+            for at, piece in cut(text, size) if len(text) > 2 * size else [(0, text)]:
+                held.append((doc_id, th, at, piece))
+                n += len(piece)
+                if n >= size:
+                    yield _columns(held)
+                    held, n = [], 0
+                    give_back()
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    ids, ths, at, texts = zip(*held)
+    return np.array(ids, np.int64), np.array(ths, np.int64), np.array(at, np.int64), list(texts)
 
 
 def runs(keep: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +145,20 @@ def as_frame(spans: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({c: spans[c] for c in ("doc_id", "th", "s", "e")})
 
 
-def covered(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Which of n places lie in one of the spans [s, e)."""
-    turn = np.zeros(n + 1, np.int64)
-    np.add.at(turn, s, 1)
-    np.add.at(turn, e, -1)
-    return np.cumsum(turn)[:n] > 0
+def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that spans [s, e) cover together, in order; spans that touch make one run."""
+    if not len(s):
+        return []
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    new = np.flatnonzero(s[1:] > e[:-1]) + 1
+    return list(zip(s[np.append(0, new)].tolist(), e[np.append(new - 1, len(e) - 1)].tolist()))
+
+
+def outside(data: bytes | list, runs: list[tuple[int, int]]) -> list:
+    """The slices of data between the runs."""
+    ends = [0, *(e for _, e in runs)]
+    return [data[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(data)])]
 
 
 def sha256(data: bytes) -> str:

@@ -4,8 +4,8 @@ The corpus is cut into shards such that equal strings are in one shard: consecut
 minimiser (the least hash of the runs of MER bytes inside) form a segment, and a minimiser's segments share a shard. A
 first pass counts minimisers; those that occur once cannot belong to a repeated window, and a bitmap of the others, of a
 fixed greatest size, says which segments travel (a false hit costs a segment, never a result). Equal segments are merged in
-each chunk before the shuffle and again in the shard. What is left is sorted by grove.llm.induced, whose queues go to disk
-beyond a bound of memory, and neighbours in the suffix array with a common prefix of WINDOW bytes are repeats.
+each chunk before the shuffle and again in the shard. What is left of a shard is sorted by grove.llm.induced, whose queues go
+to disk beyond a bound of memory, and neighbours in the suffix array with a common prefix of WINDOW bytes are repeats.
 
 Defined results: null text counts as empty; texts shorter than a window lose nothing; rows that repeat an id and a text are
 two documents with the same strings, so they lose all that a window covers; a null doc_id is passed on; an empty table
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ from grove.llm.minimisers import least
 from grove.llm.superkmers import _windows, rolled
 
 WINDOW, MER = 200, 64
-#: Bytes of text in a chunk, of segments in a shard, and of segments that are sorted together, about.
-CHUNK, SHARD, SORTED = 1 << 20, 4 << 20, 1 << 20
+#: Bytes of text in a chunk and of segments in a shard, about.
+CHUNK, SHARD = 1 << 20, 4 << 20
 #: Windows of a segment beyond which its own repeats are found before it travels (only periodic texts have such).
 LONG = 2048
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,21 +70,21 @@ def _again(text: bytes, width: int) -> np.ndarray:
     return np.bincount(head, minlength=len(h))[head] > 1, is_head
 
 
-def _sent(batches: Iterator[pd.DataFrame], bitmap, bits: int, n_shards: int, width: int, mer: int, chunk: int) -> Iterator[pd.DataFrame]:
-    flags = np.frombuffer(zstandard.decompress(bitmap.value), np.uint8)
-    for ids, ths, texts in sp.chunks(batches, chunk):
+def _sent(batches: Iterator[pd.DataFrame], bitmap: mn.Bitmap, n_shards: int, width: int, mer: int, chunk: int) -> Iterator[pd.DataFrame]:
+    flags = mn.unpacked(bitmap)
+    for ids, ths, places, texts in sp.chunks(batches, chunk, sp.byte_pieces(width)):
         long = [i for i, t in enumerate(texts) if len(t) >= width]
-        ids, ths, texts = ids[long], ths[long], [texts[i] for i in long]
+        ids, ths, places, texts = ids[long], ths[long], places[long], [texts[i] for i in long]
         at, owner, start, minimiser, h = _minimised(texts, width, mer)
         if not len(at):
             continue
-        kept = mn.hits(flags, bits, minimiser)
+        kept = mn.hits(flags, bitmap.bits, minimiser)
         a, b = sp.runs(kept, owner, minimiser)
         if not len(a):
             continue
         joined = b"".join(texts)
         lo, windows = at[a], b - a + 1
-        value, doc, begin = minimiser[a], owner[a], start[a]
+        value, doc, begin = minimiser[a], owner[a], places[owner[a]] + start[a]
         # where the minimiser stands: the segment's runs of `mer` bytes that have its hash
         n = windows + width - mer
         inside = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -117,26 +116,27 @@ def _sent(batches: Iterator[pd.DataFrame], bitmap, bits: int, n_shards: int, wid
         yield sp.pack(((value[go] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % n_shards, meta, [slices[i] for i in go.tolist()], np.concatenate(spans), n_shards)
 
 
-def repeats(segments: list[bytes], width: int, memory: int) -> list[np.ndarray]:
+def repeats(segments: list[bytes], width: int, store: induced.Store) -> list[np.ndarray]:
     """For each of different segments, which of its windows also start elsewhere in them; by the suffix array of all."""
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
-    # bytes of the texts are at least 1 here: a zero byte in a text becomes 256, out of the way of the ends
-    values = text.astype(np.int64)
     ends = np.cumsum(sizes) - 1
-    values[values == 0] = 256
-    values[ends] = 0
-    order, prefix = induced.suffixes(values, width, memory)
-    left = np.repeat(ends, sizes) - np.arange(len(values))  # bytes up to the end of the segment
-    valid = left[order] >= width
-    same = (prefix >= width) & valid & np.concatenate(([False], valid[:-1]))
-    twice = np.zeros(len(values), bool)
-    twice[order[same]] = True
-    twice[order[np.flatnonzero(same) - 1]] = True
+    symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).copy()
+    symbols[symbols == 0] = 255  # a byte that UTF-8 never has stands for zero, out of the way of the ends
+    symbols[ends] = 0
+    left = np.repeat(ends, sizes) - np.arange(len(symbols))  # bytes up to the end of the segment
+    valid = left >= width
+    twice = np.zeros(len(symbols), bool)
+    last = 0
+    for suffixes, prefix in induced.descending(induced.Text(symbols, store.limit), width, store):
+        same = np.flatnonzero(prefix >= width)
+        twice[suffixes[same]] = True
+        twice[np.append(last, suffixes[:-1])[same]] = True
+        last = suffixes[-1]
+    twice &= valid
     return [twice[e - s + 1 : e - width + 1] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _met(frame: pd.DataFrame, width: int, together: int, memory: int) -> pd.DataFrame:
+def _met(frame: pd.DataFrame, width: int, memory: int) -> pd.DataFrame:
     meta, body, spans = sp.unpack(frame)
     if not len(meta):
         return sp.as_frame(spans)
@@ -155,47 +155,37 @@ def _met(frame: pd.DataFrame, width: int, together: int, memory: int) -> pd.Data
     heads = np.flatnonzero(head == np.arange(len(head)))
     _, group, n = np.unique(meta["minimiser"][heads], return_inverse=True, return_counts=True)
     go = heads[(n[group] > 1) | (meta["flag"][heads] & _TWICE > 0)]
-    go = go[np.argsort(meta["minimiser"][go], kind="stable")]
-    value = meta["minimiser"][go]
-    new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(go) else np.zeros(0, np.int64)
-    size = np.add.reduceat(meta["size"][go].astype(np.int64), new) if len(go) else np.zeros(0, np.int64)
-    lot = (np.cumsum(size) - size) // together
-    for k in np.unique(lot):
-        groups = np.flatnonzero(lot == k)
-        mine = go[new[groups[0]] : new[groups[-1] + 1] if groups[-1] + 1 < len(new) else len(go)]
-        for i, twice in zip(mine.tolist(), repeats([slices[i] for i in mine.tolist()], width, memory)):
+    if not len(go):
+        return sp.as_frame(np.concatenate(out))
+    store = induced.Store(memory)
+    try:
+        for i, twice in zip(go.tolist(), repeats([slices[i] for i in go.tolist()], width, store)):
             if not whole[i] and twice.any():
                 a, b = sp.runs(twice)
                 m = meta[i]
                 out.append(sp.make_spans(np.repeat(m["doc_id"], len(a)), np.repeat(m["th"], len(a)), m["start"] + a, m["start"] + b + width))
+    finally:
+        store.close()
     return sp.as_frame(np.concatenate(out))
 
 
-def repeated_spans(docs: DataFrame, width: int = WINDOW, mer: int = MER, chunk: int = CHUNK, shard: int = SHARD, together: int = SORTED, memory: int = 256 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WINDOW, mer: int = MER, chunk: int = CHUNK, shard: int = SHARD, memory: int = induced.MEMORY) -> DataFrame:
     """Spans of bytes (s to e, e not included) that strings of `width` bytes cover which start elsewhere too, by key."""
     own, size = sp.keyed(docs), text_bytes(docs)
     # a minimiser every (width - mer + 2) / 2 bytes
-    bitmap, bits = mn.repeated(own, lambda t: _selected(t, width, mer), size, 2 * size // (width - mer + 2), chunk)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)  # 128 MB at most
+    bitmap = mn.repeated(own, lambda t: _selected(t, width, mer), size, 2 * size // (width - mer + 2), chunk, sp.byte_pieces(width))
     n = buckets_for(size, shard)
-    sent = own.mapInPandas(lambda b: _sent(b, bitmap, bits, n, width, mer, chunk), sp.PACKED)
-    return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width, together, memory), sp.SPAN)
+    sent = own.mapInPandas(lambda b: _sent(b, bitmap, n, width, mer, chunk), sp.PACKED)
+    return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width, memory), sp.SPAN)
 
 
 def _without(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
-    data = text.encode()
-    if not len(s):
-        return len(data), 0, 0, sp.sha256(data)
-    gone = sp.covered(len(data), s, e)
-    n = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-    return len(data), int(gone.sum()), n, sp.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes())
+    data, gone = text.encode(), sp.merged(s, e)
+    return len(data), sum(b - a for a, b in gone), len(gone), sp.sha256(b"".join(sp.outside(data, gone)))
 
 
 def _kept_text(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
-    if not len(s):
-        return (text,)
-    data = text.encode()
-    return (np.frombuffer(data, np.uint8)[~sp.covered(len(data), s, e)].tobytes().decode("utf-8", "replace"),)
+    return (b"".join(sp.outside(text.encode(), sp.merged(s, e))).decode("utf-8", "replace") if len(s) else text,)
 
 
 def digests(docs: DataFrame, width: int = WINDOW, **sizes: int) -> DataFrame:

@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 
 from grove.llm import minimisers as mn
@@ -156,15 +155,15 @@ def _selected(texts: list[bytes], width: int, mers: int) -> np.ndarray:
     return c.mers[mn.chosen(c.mers, c.at, c.minimiser, width - mers)]
 
 
-def _sent(batches: Iterator[pd.DataFrame], bitmap, bits: int, n_buckets: int, width: int, mers: int, chunk: int) -> Iterator[pd.DataFrame]:
-    flags = np.frombuffer(zstandard.decompress(bitmap.value), np.uint8)
-    for ids, ths, texts in sp.chunks(batches, chunk):
+def _sent(batches: Iterator[pd.DataFrame], bitmap: mn.Bitmap, n_buckets: int, width: int, mers: int, chunk: int) -> Iterator[pd.DataFrame]:
+    flags = mn.unpacked(bitmap)
+    for ids, ths, first_word, texts in sp.chunks(batches, chunk, sp.word_pieces(width)):
         c = _Chunk(texts, width, mers)
-        kept = mn.hits(flags, bits, c.minimiser)
+        kept = mn.hits(flags, bitmap.bits, c.minimiser)
         some = np.flatnonzero(kept)
         if not len(some):
             continue
-        owner, start, text = c.owner, c.start, c.text
+        owner, start, text = c.owner, first_word[c.owner] + c.start, c.text
         late, head = later(rolled(c.hashes, width)[c.at[some]], ids[owner[some]], start[some])
         at = c.at[some]
         late = exactly(text, at, c.begins[at], c.ends[at + width - 1], ids[owner[some]], start[some], late, head)
@@ -199,22 +198,24 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW, mers: int = MERS, chunk
     """Spans of words (s to e, e not included) that repeated windows cover, by document key."""
     own, size = sp.keyed(docs), text_bytes(docs)
     # a minimiser every (width - mers + 2) / 2 words, of five bytes at least
-    bitmap, bits = mn.repeated(own, lambda t: _selected(t, width, mers), size, size // (2 * (width - mers + 2)), chunk)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)  # 128 MB at most
+    bitmap = mn.repeated(own, lambda t: _selected(t, width, mers), size, size // (2 * (width - mers + 2)), chunk, sp.word_pieces(width))
     n = buckets_for(size, bucket)
-    sent = own.mapInPandas(lambda b: _sent(b, bitmap, bits, n, width, mers, chunk), sp.PACKED)
+    sent = own.mapInPandas(lambda b: _sent(b, bitmap, n, width, mers, chunk), sp.PACKED)
     return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width), sp.SPAN)
 
 
+def _kept(text: str, s: np.ndarray, e: np.ndarray) -> tuple[int, int, bytes]:
+    words, gone = text.encode().split(), sp.merged(s, e)
+    return len(words), sum(b - a for a, b in gone), b" ".join(chain.from_iterable(sp.outside(words, gone)))
+
+
 def _without(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
-    words = text.encode().split()
-    gone = sp.covered(len(words), s, e)
-    return len(words), int(gone.sum()), sp.sha256(b" ".join(compress(words, ~gone)))
+    n, removed, kept = _kept(text, s, e)
+    return n, removed, sp.sha256(kept)
 
 
 def _kept_text(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
-    words = text.encode().split()
-    return (b" ".join(compress(words, ~sp.covered(len(words), s, e))).decode(),)
+    return (_kept(text, s, e)[2].decode(),)
 
 
 def digests(docs: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from grove.llm import induced, suffix_dedup, superkmers
@@ -60,9 +61,9 @@ def got(df):
 
 def test_induced_sorting(monkeypatch):
     rng = random.Random(3)
-    for queues, memory, block in ((1024, 1 << 28, 1 << 18), (2, 0, 3), (0, 1 << 28, 3), (1024, 0, 1 << 18)):
-        monkeypatch.setattr(induced, "QUEUES", queues)
-        monkeypatch.setattr(induced, "BLOCK", block)
+    for queues, bucket, memory, block, ahead in ((512, 1 << 14, 1 << 28, 1 << 16, 1 << 13), (2, 9, 0, 3, 4), (1, 9, 1 << 28, 3, 1), (512, 9, 0, 1 << 16, 5), (5, 4, 400, 7, 2), (3, 1 << 14, 40, 1, 1 << 13)):
+        for name, value in (("QUEUES", queues), ("BUCKET", bucket), ("BLOCK", block), ("AHEAD", ahead)):
+            monkeypatch.setattr(induced, name, value)
         for _ in range(150):
             text = [rng.randrange(rng.choice([1, 2, 3, 5, 20])) for _ in range(rng.randint(1, 60))]
             if rng.random() < 0.4:
@@ -75,12 +76,36 @@ def test_induced_sorting(monkeypatch):
                 assert prefix[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"mer": 5, "chunk": 300, "shard": 400, "together": 100, "memory": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"mer": 5, "chunk": 300, "shard": 400, "memory": 0}])
 def test_suffix_dedup(spark, sizes):
     rows = odd_rows()
     assert got(suffix_dedup.digests(frame(spark, rows), 20, **({"mer": 8} | sizes))) == brute_bytes(rows, 20)
 
 
+def test_long_texts_are_cut():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \n") for _ in range(rng.randint(0, 200))).encode()
+        size, width = rng.randint(1, 40), rng.randint(1, 6)
+        got = [(at + k, p[k : k + width]) for at, p in suffix_dedup.sp.byte_pieces(width)(text, size) for k in range(len(p) - width + 1)]
+        assert got == [(k, text[k : k + width]) for k in range(len(text) - width + 1)]
+        words = text.split()
+        got = [(at + k, p.split()[k : k + width]) for at, p in suffix_dedup.sp.word_pieces(width)(text, size) for k in range(len(p.split()) - width + 1)]
+        assert got == [(k, words[k : k + width]) for k in range(len(words) - width + 1)]
+
+
+def test_real_texts_recurse_and_spill():
+    """At default sizes names are sorted by recursion, and the queues of a sort go to disk."""
+    texts = [t for t in pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    texts = list(dict.fromkeys(t.encode() for t in texts if len(t) >= 200))[:250]
+    store = induced.Store()
+    found = suffix_dedup.repeats(texts, 200, store)
+    n = Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
+    assert all(twice.tolist() == [n[b[k : k + 200]] > 1 for k in range(len(b) - 199)] for b, twice in zip(texts, found))
+    assert any(twice.any() for twice in found) and store.recursions > 1 and store.on_disk > 10 and store.bytes_on_disk > 1 << 20
+    store.close()
+
+
 def test_suffix_dedup_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "abc" * 30, "x", 90), (2, "abc" * 30, "y", 90), (3, "zz", "z", 2)], "doc_id long, text string, source string, n_chars long")
     out = suffix_dedup.dedup(docs, 20, mer=8)

@@ -4,8 +4,8 @@ The corpus is cut into shards such that equal strings are in one shard: consecut
 minimiser (the least hash of the runs of MER bytes inside) form a segment, and a minimiser's segments share a shard. A
 first pass counts minimisers; those that occur once cannot belong to a repeated window, and a bitmap of the others, of a
 fixed greatest size, says which segments travel (a false hit costs a segment, never a result). Equal segments are merged in
-each chunk before the shuffle and again in the shard. What is left of a shard is sorted by grove.llm.induced, whose queues go
-to disk beyond a bound of memory, and neighbours in the suffix array with a common prefix of WINDOW bytes are repeats.
+each chunk before the shuffle and again in the shard. What is left of a shard is sorted, some minimisers'
+groups at a time, by grove.llm.induced, whose queues go to disk beyond a bound of memory, and neighbours in the suffix array with a common prefix of WINDOW bytes are repeats.
 
 Defined results: null text counts as empty; texts shorter than a window lose nothing; rows that repeat an id and a text are
 two documents with the same strings, so they lose all that a window covers; a null doc_id is passed on; an empty table
@@ -30,8 +30,8 @@ from grove.llm.minimisers import least
 from grove.llm.superkmers import _windows, rolled
 
 WINDOW, MER = 200, 64
-#: Bytes of text in a chunk and of segments in a shard, about.
-CHUNK, SHARD = 1 << 20, 4 << 20
+#: Bytes of text in a chunk, of segments in a shard, and of a shard's minimiser groups that are sorted together, about.
+CHUNK, SHARD, SORTED = 1 << 20, 4 << 20, 1 << 20
 #: Windows of a segment beyond which its own repeats are found before it travels (only periodic texts have such).
 LONG = 2048
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +136,7 @@ def repeats(segments: list[bytes], width: int, store: induced.Store) -> list[np.
     return [twice[e - s + 1 : e - width + 1] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _met(frame: pd.DataFrame, width: int, memory: int) -> pd.DataFrame:
+def _met(frame: pd.DataFrame, width: int, together: int, memory: int) -> pd.DataFrame:
     meta, body, spans = sp.unpack(frame)
     if not len(meta):
         return sp.as_frame(spans)
@@ -155,28 +155,37 @@ def _met(frame: pd.DataFrame, width: int, memory: int) -> pd.DataFrame:
     heads = np.flatnonzero(head == np.arange(len(head)))
     _, group, n = np.unique(meta["minimiser"][heads], return_inverse=True, return_counts=True)
     go = heads[(n[group] > 1) | (meta["flag"][heads] & _TWICE > 0)]
-    if not len(go):
-        return sp.as_frame(np.concatenate(out))
+    go = go[np.argsort(meta["minimiser"][go], kind="stable")]
     store = induced.Store(memory)
     try:
-        for i, twice in zip(go.tolist(), repeats([slices[i] for i in go.tolist()], width, store)):
-            if not whole[i] and twice.any():
-                a, b = sp.runs(twice)
-                m = meta[i]
-                out.append(sp.make_spans(np.repeat(m["doc_id"], len(a)), np.repeat(m["th"], len(a)), m["start"] + a, m["start"] + b + width))
+        for mine in _lots(go, meta["minimiser"][go], meta["size"][go].astype(np.int64), together):
+            for i, twice in zip(mine.tolist(), repeats([slices[i] for i in mine.tolist()], width, store)):
+                if not whole[i] and twice.any():
+                    a, b = sp.runs(twice)
+                    m = meta[i]
+                    out.append(sp.make_spans(np.repeat(m["doc_id"], len(a)), np.repeat(m["th"], len(a)), m["start"] + a, m["start"] + b + width))
     finally:
         store.close()
     return sp.as_frame(np.concatenate(out))
 
 
-def repeated_spans(docs: DataFrame, width: int = WINDOW, mer: int = MER, chunk: int = CHUNK, shard: int = SHARD, memory: int = induced.MEMORY) -> DataFrame:
+def _lots(rows: np.ndarray, group: np.ndarray, size: np.ndarray, together: int) -> list[np.ndarray]:
+    """Rows sorted by group, as lots of whole groups of about so many bytes."""
+    if not len(rows):
+        return []
+    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    total = np.add.reduceat(size, new)
+    return np.split(rows, new[np.flatnonzero(np.diff((np.cumsum(total) - total) // together)) + 1])
+
+
+def repeated_spans(docs: DataFrame, width: int = WINDOW, mer: int = MER, chunk: int = CHUNK, shard: int = SHARD, together: int = SORTED, memory: int = induced.MEMORY) -> DataFrame:
     """Spans of bytes (s to e, e not included) that strings of `width` bytes cover which start elsewhere too, by key."""
     own, size = sp.keyed(docs), text_bytes(docs)
     # a minimiser every (width - mer + 2) / 2 bytes
     bitmap = mn.repeated(own, lambda t: _selected(t, width, mer), size, 2 * size // (width - mer + 2), chunk, sp.byte_pieces(width))
     n = buckets_for(size, shard)
     sent = own.mapInPandas(lambda b: _sent(b, bitmap, n, width, mer, chunk), sp.PACKED)
-    return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width, memory), sp.SPAN)
+    return sent.groupBy("bucket").applyInPandas(lambda f: _met(f, width, together, memory), sp.SPAN)
 
 
 def _without(text: str, s: np.ndarray, e: np.ndarray) -> tuple:

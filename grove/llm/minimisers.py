@@ -19,7 +19,7 @@ from grove.llm import spans as sp
 from grove.llm.common import buckets_for
 
 #: Bits of a minimiser's hash that it is counted by, and the first of them, by which ranges are made.
-HASH, HEAD = 48, 24
+HASH, HEAD = 48, 17
 #: The bitmap has 2 ** BITS[0] bits at least, HEAD + 3 so that ranges are whole bytes, and 2 ** BITS[1] (128 MB) at most.
 BITS = (HEAD + 3, 30)
 
@@ -83,8 +83,8 @@ def repeated(own: DataFrame, select: Callable[[list[bytes]], np.ndarray], size:
     Each range of hashes makes its own bytes of the bitmap, and the driver passes them on compressed: never the hits, and
     never more than the bitmap's greatest size.
     """
-    bits = min(BITS[1], max(BITS[0], (4 * expected).bit_length()))
-    ranges = buckets_for(size, 64 << 20)
+    bits = min(BITS[1], max(BITS[0], (8 * expected).bit_length()))
+    ranges = min(1 << HEAD, buckets_for(size, 64 << 20))
     counted = own.mapInPandas(lambda b: _counted(b, select, ranges, chunk, cut), "bucket bigint, body binary")
     made = counted.groupBy("bucket").applyInPandas(lambda f: _segment(f, ranges, bits), "at bigint, body binary")
     segments = [(r["at"], bytes(r["body"])) for r in made.toLocalIterator()]

@@ -1,17 +1,22 @@
 """Toxicity scores by weak supervision.
 
-Many lexicon and pattern voters (a word, or the first letters of a word) are mined from a bounded sample of labelled rows.
-A generative label model estimates by expectation-maximisation how often each voter fires in either class, takes the
-given label as one voter more, and lowers the say of voters that fire together beyond what the class explains. A linear
-classifier is trained on the posterior labels and scores every whole text in one map over rows, without a shuffle.
-
-Bounds: the model is fitted on at most `sample` labelled rows (those of the smallest hash of the id), with at most
-`voters` voters; both are parameters. Scoring covers all rows.
+Voters are lexicon entries (a word) and patterns (the first letters of a word), each with the number of hits from which it
+fires, mined from a bounded sample of labelled rows; a pattern and a word that stand in nearly the same texts are one voter.
+A voter says toxic where it fires. It says clean where it does not fire in a text long enough to tell that has the frequent words of the texts it fires in, so that it knows their language;
+elsewhere it abstains. A generative label model sees these votes only. It estimates by expectation-maximisation how often a
+voter is right in either class, and correlations: voters form a tree of the strongest dependences that the class leaves,
+and a vote depends on the class and on the vote of its parent in the tree. Labels are not evidence to it; they mine the
+voters and say which class is toxic. A linear classifier over the voters' hits is trained on the posterior labels and scores
+every whole text in one map over rows, without a shuffle.
+
+Bounds: the model is fitted on at most `sample` labelled rows, one an id (those of the smallest hash of the id), with at
+most `voters` voters; both are parameters. Scoring covers all rows.
 
 Defined results: null text counts as empty and gets the score of a text in which no voter fires; rows of a text that
 repeat get equal scores; labels that are null or that have no document are left out, and the larger counts where an id has
-several; a null doc_id is passed on, and counts as not held out; without labelled rows of both classes all scores are the
-share of toxic labels (0 where there are none); empty tables give no rows; columns other than doc_id and text are ignored.
+several, and of an id's texts the smallest; a null doc_id is passed on, and counts as not held out; without labelled rows of
+both classes all scores are the share of toxic labels (0 where there are none); empty tables give no rows; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.llm.common import cut, small_batches
@@ -32,6 +37,14 @@ from grove.llm.common import cut, small_batches
 SAMPLE, VOTERS, THRESHOLD = 20_000, 256, 0.3
 FOLDS, HELD_OUT = 4, 2
 PREFIXES = (4, 5, 6)
+#: Hits in a text from which a voter may fire.
+OFTEN = (1, 2, 3)
+#: Share of texts in common from which a pattern and a word that it covers are one voter.
+ALIKE = 0.7
+#: Words of a text from which a voter that does not fire says clean, if it has DOMAIN of the voter's COMPANIONS most frequent words.
+LONG, COMPANIONS, DOMAIN = 20, 12, 3
+#: Votes.
+CLEAN, TOXIC, ABSTAINS = 0, 1, 2
 #: Words whose voters a worker remembers.
 KEPT = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,16 +64,20 @@ _known: dict = {"name": None, "words": {}}
 
 @dataclass
 class Model:
-    """A linear classifier over log counts of the voters' hits."""
+    """A linear classifier over the voters: the log counts of their hits, and then whether they fire."""
 
-    voters: dict[str, int] = field(default_factory=dict)
+    voters: dict[str, tuple[int, int]] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -30.0
-    accuracies: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    labels: LabelModel | None = None
 
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @property
+    def often(self) -> list[int]:
+        """The hits from which each voter fires."""
+        return [n for _, n in self.voters.values()]
+
     def known(self) -> dict[str, tuple[int, ...]]:
         """The voters of words seen before: one table a worker, whatever the number of its tasks."""
         if _known["name"] != self.name:
@@ -68,13 +85,13 @@ class Model:
         return _known["words"]
 
     def hits(self, text: str) -> dict[int, int]:
-        """How often each voter fires in a text."""
+        """How many hits each voter has in a text."""
         out: dict[int, int] = defaultdict(int)
         known = self.known()
         for word, n in Counter(LETTERS.findall(text.lower())).items():
             mine = known.get(word)
             if mine is None:
-                mine = tuple(self.voters[p] for p in patterns_of(word) if p in self.voters)
+                mine = tuple(self.voters[p][0] for p in patterns_of(word) if p in self.voters)
                 if len(known) >= KEPT:
                     known.clear()
                 known[word] = mine
@@ -83,7 +100,8 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[v] * np.log1p(n) for v, n in self.hits(text).items())
+        k = len(self.voters)
+        z = self.bias + sum(self.weights[v] * np.log1p(n) + self.weights[k + v] * (n >= self.often[v]) for v, n in self.hits(text).items())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -93,56 +111,146 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     book = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows], "doc_id bigint, toxic int")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(book), "doc_id"), "labelled")  # `sample` rows of two numbers
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(book), "doc_id")  # `sample` rows of two numbers
+    return cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+
 
+def mine(rows: DataFrame, voters: int = VOTERS, least: int = 3, share: float = 0.015, clear: float = 2.5) -> dict[str, tuple[int, int]]:
+    """Voters: patterns, with a number and the count of hits from which they fire.
 
-def mine(rows: DataFrame, voters: int = VOTERS, least: int = 3) -> dict[str, int]:
-    """The patterns that tell the classes apart best, by their likelihood ratio, among those toxic texts hold more often."""
+    Those that tell toxic texts best, by the log of their likelihood ratio (`clear` at least) times how many they fire in,
+    among those that fire in at least `least` toxic texts and in that share of them.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            count: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for p in {p for w in set(LETTERS.findall(text.lower())) if len(w) > 2 for p in patterns_of(w)}:
-                    count[p][toxic > 0] += 1
-            yield pd.DataFrame([(p, a, b) for p, (a, b) in count.items()], columns=["pattern", "clean", "toxic"])
+                hits: Counter = Counter()
+                for word, n in Counter(LETTERS.findall(text.lower())).items():
+                    if len(word) > 2:
+                        hits.update(dict.fromkeys(patterns_of(word), n))
+                for p, n in hits.items():
+                    for often in OFTEN:
+                        if n >= often:
+                            count[p, often][toxic > 0] += 1
+            yield pd.DataFrame([(p, often, a, b) for (p, often), (a, b) in count.items()], columns=["pattern", "often", "clean", "toxic"])
 
     total = {bool(r["t"]): r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = total.get(False, 0), total.get(True, 0)
     if not n0 or not n1:
         return {}
-    sums = rows.mapInPandas(counted, "pattern string, clean bigint, toxic bigint").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
-    gain = F.col("toxic") * F.log(p1 / p0)
-    best = sums.where((F.col("toxic") >= least) & (F.log(p1 / p0) > 1.5)).orderBy(gain.desc(), "pattern").limit(voters).collect()
-    return {r["pattern"]: i for i, r in enumerate(best)}
-
+    sums = rows.mapInPandas(counted, "pattern string, often int, clean bigint, toxic bigint").groupBy("pattern", "often").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 2) / (n0 + 4)))
+    sums = sums.withColumn("texts", F.max(F.col("clean") + F.col("toxic")).over(Window.partitionBy("pattern")))
+    sums = sums.where((F.col("toxic") >= max(least, share * n1)) & (ratio > clear))
+    found = sums.orderBy((F.col("toxic") * ratio).desc(), "pattern", "often").limit(8 * voters).collect()
+    chosen: dict[str, tuple[int, int]] = {}
+    texts: dict[str, int] = {}
+    for r in found:
+        p, n = r["pattern"], r["texts"]
+        # a pattern and a word that are in nearly the same texts are one voter, as are two numbers of hits of one pattern
+        same = (q == p or (covers(p, q) or covers(q, p)) and min(n, texts[q]) > ALIKE * max(n, texts[q]) for q in chosen)
+        if len(chosen) < voters and not any(same):
+            chosen[p], texts[p] = (len(chosen), r["often"]), n
+    return chosen
+
+
+def covers(a: str, b: str) -> bool:
+    """Whether pattern a fires wherever b does."""
+    return a == b or a.endswith("*") and b.startswith(a[:-1])
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row of votes (0 or 1), the voters' rates in both classes, and their correlations.
 
-    The given label starts the classes and votes along, with a reliability that is estimated like the others'.
+@dataclass
+class LabelModel:
+    """P(class), and P(vote | class, vote of the parent) for votes that are no abstentions; a root's parent abstains."""
+
+    prior: np.ndarray  # class
+    parent: np.ndarray  # voter -> voter, or -1
+    rates: np.ndarray  # class, voter, vote of the parent -> P(toxic)
+    accuracies: np.ndarray  # class, voter -> how often its votes are right
+    correlations: np.ndarray  # voter, voter: of votes within the classes, where both vote
+
+    def log_likelihood(self, votes: np.ndarray) -> np.ndarray:
+        """Of each row of votes in either class; abstentions say nothing."""
+        above = np.where(self.parent >= 0, votes[:, self.parent], ABSTAINS)
+        toxic = self.rates[:, np.arange(votes.shape[1]), above]
+        said = np.where(votes == TOXIC, np.log(toxic), np.log(1 - toxic))
+        return np.where(votes == ABSTAINS, 0, said).sum(axis=2)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        clean, toxic = np.log(self.prior)[:, None] + self.log_likelihood(votes)
+        return 1 / (1 + np.exp(np.clip(clean - toxic, -500, 500)))
+
+
+def dependences(votes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each two voters, over rows on which both vote: information that they share within the classes, and correlation."""
+    k = votes.shape[1]
+    states = [(votes == v).astype(float) for v in (CLEAN, TOXIC)]
+    shared, covariance, spread = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+    for w in weight:
+        both = np.array([[(a * w[:, None]).T @ b for b in states] for a in states])  # vote, vote, voter, voter
+        mass = both.sum(axis=(0, 1)) + 1e-9
+        joint = both / mass
+        left, right = joint.sum(axis=1), joint.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = np.where(joint > 0, joint * np.log(joint / (left[:, None] * right[None])), 0)
+        shared += mass * each.sum(axis=(0, 1))
+        covariance += mass * (joint[1, 1] - left[1] * right[1])
+        spread += mass * np.sqrt(left[0] * left[1] * right[0] * right[1])
+    for table in (shared, covariance):
+        np.fill_diagonal(table, 0)
+    return shared, covariance / (spread + 1e-9)
+
+
+def tree_of(shared: np.ndarray, least: float) -> np.ndarray:
+    """The parents of a forest of greatest total: edges of more than `least`, the strongest first, that close no circle."""
+    k = len(shared)
+    parent, seen = np.full(k, -1), np.zeros(k, bool)
+    for root in np.argsort(-shared.sum(axis=1), kind="stable"):
+        if seen[root]:
+            continue
+        best, way = np.full(k, -1.0), np.full(k, -1)
+        at = root
+        while at >= 0:  # the strongest edge from the part built so far to a voter outside it
+            seen[at] = True
+            closer = ~seen & (shared[at] > np.maximum(best, least))
+            best[closer], way[closer] = shared[at][closer], at
+            outside = np.where(seen, -1, best)
+            at = int(outside.argmax()) if outside.max() > least else -1
+            if at >= 0:
+                parent[at] = way[at]
+    return parent
+
+
+def label_model(votes: np.ndarray, rounds: int = 30, least: float = 3.0) -> tuple[np.ndarray, LabelModel]:
+    """The posterior of toxic for each row of votes (CLEAN, TOXIC or ABSTAINS), and the model, from the votes alone.
+
+    Starts from how many voters say toxic. least: shared information (nats, over all rows) of voters that depend on each
+    other; the chance value is about a half for each class.
     """
     n, k = votes.shape
-    posterior = np.where(given > 0, 0.95, 0.05)
+    said = (votes == TOXIC).sum(axis=1)
+    posterior = 1 - 0.9 * 0.25**said
     for _ in range(rounds):
         weight = np.stack([1 - posterior, posterior])
-        mass = weight.sum(axis=1, keepdims=True)
-        rates = (weight @ votes + 0.5) / (mass + 1)
-        said = ((weight @ (given > 0)) + 1) / (mass[:, 0] + 2)
-        residual = votes - (weight.T @ rates)
-        spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        together = (residual.T @ residual) / n / np.outer(spread, spread)
-        np.fill_diagonal(together, 0)
-        say = 1 / (1 + np.clip(together, 0, None).sum(axis=1))
-        on = np.log(rates[1] / rates[0]) * say
-        off = np.log((1 - rates[1]) / (1 - rates[0])) * say
-        prior = np.log(mass[1, 0] + 1) - np.log(mass[0, 0] + 1)
-        label = np.where(given > 0, np.log(said[1] / said[0]), np.log((1 - said[1]) / (1 - said[0])))
-        z = prior + votes @ on + (1 - votes) @ off + label
-        posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return posterior, rates, together
+        prior = (weight.sum(axis=1) + 1) / (n + 2)
+        shared, correlations = dependences(votes, weight)
+        parent = tree_of(shared, least)
+        above = np.where(parent >= 0, votes[:, parent], ABSTAINS)
+        plain = [((weight @ (votes == v)) + 0.5) for v in (CLEAN, TOXIC)]
+        mean = plain[TOXIC] / (plain[CLEAN] + plain[TOXIC])
+        rates = np.empty((2, k, 3))
+        for state in (CLEAN, TOXIC, ABSTAINS):  # drawn to the voter's rate without its parent by the weight of one row
+            hit, miss = (weight @ ((votes == v) & (above == state)) for v in (TOXIC, CLEAN))
+            rates[:, :, state] = (hit + mean) / (hit + miss + 1)
+        model = LabelModel(prior, parent, rates, np.stack([1 - mean[0], mean[1]]), correlations)
+        now = model.posterior(votes)
+        done = np.abs(now - posterior).max() < 1e-6
+        posterior = now
+        if done:
+            break
+    return posterior, model
 
 
 def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -174,19 +282,42 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int
     def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hits = [model.hits(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "voter": [list(h) for h in hits], "n": [list(h.values()) for h in hits]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "voter": [list(h) for h in hits], "n": [list(h.values()) for h in hits], "words": [_frequent(t) for t in batch["text"]]})
 
-    seen = rows.mapInPandas(fired, "toxic int, voter array<int>, n array<int>").toPandas()  # `sample` rows at most
+    shape = "doc_id bigint, toxic int, voter array<int>, n array<int>, words array<string>"
+    # `sample` rows at most, a hundred words each
+    seen = rows.mapInPandas(fired, shape).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
     x = np.zeros((len(seen), len(model.voters)))
     for i, (v, n) in enumerate(zip(seen["voter"], seen["n"])):
         x[i, v] = np.log1p(np.asarray(n, dtype=float))
-    order = np.lexsort((*x.T[:3], seen["toxic"].to_numpy()))
-    x, given = x[order], seen["toxic"].to_numpy()[order]
-    posterior, model.accuracies, model.correlations = label_model((x > 0).astype(float), given)
-    model.weights, model.bias = linear(x, posterior)
+    fires = x >= np.log1p(model.often)
+    posterior, model.labels = label_model(votes_of(fires, list(seen["words"])))
+    given = seen["toxic"].to_numpy() > 0
+    if posterior[given].mean() < posterior[~given].mean():  # the labels say which of the two classes is toxic
+        posterior = 1 - posterior
+    model.weights, model.bias = linear(np.hstack([x, fires]), posterior)
     return model
 
 
+def _frequent(text: str) -> list[str]:
+    """The number of a text's words, and its hundred most frequent ones."""
+    found = LETTERS.findall(text.lower())
+    return [str(len(found)), *(w for w, _ in sorted(Counter(found).items(), key=lambda c: (-c[1], c[0]))[:100])]
+
+
+def votes_of(fires: np.ndarray, words: list[list[str]]) -> np.ndarray:
+    """The votes of all voters on all texts; words: the number of a text's words and the most frequent of them."""
+    votes = np.where(fires, TOXIC, ABSTAINS)
+    long = np.array([int(w[0]) >= LONG for w in words])
+    texts = [set(w[1:]) for w in words]
+    for v in range(fires.shape[1]):
+        held = Counter(w for i in np.flatnonzero(fires[:, v]) for w in texts[i])
+        companions = {w for w, _ in sorted(held.items(), key=lambda c: (-c[1], c[0]))[:COMPANIONS]}
+        knows = np.array([len(companions & t) >= DOMAIN for t in texts])
+        votes[~fires[:, v] & long & knows, v] = CLEAN
+    return votes
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep and the score of each text."""
     fields = [docs.schema[c] for c in keep]
@@ -211,4 +342,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters:
     """The documents that score below the threshold, with all their columns."""
     model = train(docs, labels, sample, voters)
     rated = F.pandas_udf(lambda texts: texts.fillna("").map(model.score).astype(float), "double")
-    return docs.withColumn("__score", rated(F.col("text"))).where(F.col("__score") < threshold).drop("__score")
+    return docs.where(rated(F.col("text")) < threshold)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -146,10 +147,95 @@ def test_toxicity_edge_rows(spark):
     assert toxicity.rate(df.limit(0), labels).count() == 0
 
 
-def test_label_model_trusts_voters_over_a_wrong_label():
-    rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.3
-    votes = np.stack([np.where(y, rng.random(2000) < 0.9, rng.random(2000) < 0.02) for _ in range(6)], axis=1).astype(float)
-    given = np.where(rng.random(2000) < 0.1, ~y, y).astype(int)
-    posterior, rates, together = toxicity.label_model(votes, given)
-    assert ((posterior > 0.5) == y).mean() > 0.99 and (rates[1] > 0.8).all() and (rates[0] < 0.1).all()
+def drawn_votes(n, seed):
+    """Votes of five voters that err by themselves, of one that copies the first in nine of ten cases, with abstentions."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    right = np.array([[0.95, 0.97, 0.9, 0.95, 0.98], [0.8, 0.7, 0.75, 0.6, 0.85]])
+    votes = np.where(rng.random((n, 5)) < right[y.astype(int)], y[:, None], ~y[:, None]).astype(int)
+    copy = np.where(rng.random(n) < 0.9, votes[:, 0], rng.random(n) < 0.3).astype(int)
+    votes = np.hstack([votes, copy[:, None]])
+    votes[rng.random(votes.shape) < 0.1] = toxicity.ABSTAINS
+    return y, votes, right
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    y, votes, right = drawn_votes(6000, 0)
+    posterior, model = toxicity.label_model(votes)
+    assert ((posterior > 0.5) == y).mean() > 0.95
+    assert np.abs(model.accuracies[:, 1:5] - right[:, 1:]).max() < 0.05
+    assert model.parent[0] == 5 or model.parent[5] == 0
+    assert model.correlations[0, 5] > 0.6 and np.abs(model.correlations[1:5, 1:5]).max() < 0.15
+
+
+def test_label_model_against_plain_loops():
+    """One voter's parent aside, the posterior is what Bayes' rule gives, and the rates are what the posterior's weights count."""
+    _, votes, _ = drawn_votes(300, 1)
+    posterior, m = toxicity.label_model(votes, rounds=200)
+    for row, got in zip(votes, posterior):
+        odds = []
+        for c in (0, 1):
+            p = m.prior[c]
+            for v, vote in enumerate(row):
+                toxic = m.rates[c, v, row[m.parent[v]] if m.parent[v] >= 0 else toxicity.ABSTAINS]
+                p *= 1 if vote == toxicity.ABSTAINS else toxic if vote == toxicity.TOXIC else 1 - toxic
+            odds.append(p)
+        assert math.isclose(got, odds[1] / sum(odds), rel_tol=1e-9)
+    for c in (0, 1):
+        weight = [p if c else 1 - p for p in posterior]
+        for v in range(votes.shape[1]):
+            mean = sum(w for w, r in zip(weight, votes) if r[v] == 1) + 0.5
+            mean /= mean + sum(w for w, r in zip(weight, votes) if r[v] == 0) + 0.5
+            for state in (0, 1, 2):
+                mine = [(w, r[v]) for w, r in zip(weight, votes) if r[v] != 2 and (r[m.parent[v]] if m.parent[v] >= 0 else 2) == state]
+                hit = sum(w for w, vote in mine if vote == 1)
+                assert math.isclose(m.rates[c, v, state], (hit + mean) / (sum(w for w, _ in mine) + 1), rel_tol=1e-4)
+
+
+def test_dependences_against_enumeration():
+    _, votes, _ = drawn_votes(200, 2)
+    weight = np.random.default_rng(3).random((2, 200))
+    shared, _ = toxicity.dependences(votes, weight)
+    for a in range(6):
+        for b in range(6):
+            want = 0.0
+            for w in weight if a != b else ():
+                cells = Counter()
+                for p, r in zip(w, votes):
+                    if r[a] != 2 and r[b] != 2:
+                        cells[r[a], r[b]] += p
+                n = sum(cells.values())
+                for (x, z), p in cells.items():
+                    left = sum(q for (i, _), q in cells.items() if i == x)
+                    below = sum(q for (_, j), q in cells.items() if j == z)
+                    want += p * math.log(p * n / (left * below))
+            assert math.isclose(shared[a, b], want, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_tree_is_the_heaviest_forest():
+    rng = np.random.default_rng(4)
+    pairs = [(a, b) for a in range(5) for b in range(a)]
+    for _ in range(50):
+        weight = np.zeros((5, 5))
+        for a, b in pairs:
+            weight[a, b] = weight[b, a] = rng.random()
+        best = 0.0
+        for n in range(5):
+            for edges in itertools.combinations([p for p in pairs if weight[p] > 0.4], n):
+                label = list(range(5))
+                for a, b in edges:
+                    if label[a] == label[b]:
+                        break
+                    label = [label[b] if x == label[a] else x for x in label]
+                else:
+                    best = max(best, sum(weight[e] for e in edges))
+        parent = toxicity.tree_of(weight, 0.4)
+        assert math.isclose(sum(weight[v, p] for v, p in enumerate(parent) if p >= 0), best, abs_tol=1e-12)
+
+
+def test_one_row_an_id_and_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} calm river stone " + "zorgle " * (i % 3 == 0), 0.5) for i in range(120)] + [(3, "zorgle", 0.5)] * 200, "doc_id long, text string, __score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels)
+    assert rows.count() == rows.select("doc_id").distinct().count()
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns

@@ -1,10 +1,9 @@
-"""Near-duplicate classes by the exact Jaccard similarity of the texts' sets of word shingles.
+"""Exact Jaccard similarity of texts' sets of word shingles: what confirms the candidates of grove.llm.simhash.
 
-Texts with equal sets are one set from here on. Sets that may be similar meet by MinHash: BANDS bands of ROWS minima each,
-so that two sets at similarity 0.8 share no band in about 3 of a million cases, and more similar ones more rarely. A band's
-sets are linked as a star, and connected components of the stars are clusters that hold all candidates. Only texts of
-clusters travel again: a cluster meets in one task, or in pairs of parts where it is large, and there each two sets are
-compared exactly unless they are known to be of one class. Components of the confirmed links are the classes.
+Texts with equal sets are one set from here on. Sets that may be similar share a MinHash band: BANDS bands of ROWS minima
+each, so that two sets at similarity 0.8 share no band in about 3 of a million cases, and more similar ones more rarely.
+Only texts of clusters of candidates travel again: a cluster meets in one task, or in pairs of parts where it is large, and
+there each two sets are compared exactly unless they are known to be of one class.
 
 Defined results: words are lower-cased as in SimHash; texts of fewer words than a shingle are one shingle; null texts and
 texts without words have the empty set and one class; classes are transitive; columns other than doc_id and text are
@@ -22,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut, first_of_each, give_back, small_batches
-from grove.llm.components import components
+from grove.llm.common import cut, give_back, small_batches
 
 WIDTH, SEED = 5, 42
 #: Similarity from which texts are near copies, in hundredths: compared without rounding.
@@ -61,28 +59,6 @@ def bands(own: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, th, sid and bands of each document: hashes of its text and of its set, and the set's keys."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingles(t) for t in batch["text"]]
-            sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "sid": sid, "bands": [bands(s) for s in found]})
-            del found
-            give_back()
-
-    text = F.coalesce("text", F.lit(""))
-    return small_batches(docs).select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(rows, "doc_id bigint, th bigint, sid bigint, bands array<bigint>")
-
-
-def clusters(own: DataFrame) -> DataFrame:
-    """(node, root) of sets that share a band with others, directly or by way of others."""
-    met = own.select("sid", F.explode("bands").alias("g"))
-    least = met.groupBy("g").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("g", "a")
-    return components(met.join(least, "g").select("a", F.col("sid").alias("b")))
-
-
 def similar(texts: list[str], least: int = LEAST) -> np.ndarray:
     """For each text the index of its class among them: a smaller one of its class, or itself."""
     n = len(texts)
@@ -150,22 +126,3 @@ def links(texts: DataFrame, part: int = PART, part_bytes: int = PART_BYTES) -> D
     groups = ["root", "i", "j"]
     met = dealt(small_batches(texts), part, part_bytes).repartition(*groups).sortWithinPartitions(*groups)
     return met.mapInPandas(rows, "a bigint, b bigint")
-
-
-def rooted(docs: DataFrame, part: int = PART, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, th and root of each document with an id: root names its class, th is the hash of its text."""
-    docs = docs.where("doc_id IS NOT NULL")
-    own = cut(sets(docs), "shingle-sets")
-    met = cut(clusters(own), "clusters").withColumnRenamed("node", "sid")
-    # a document whose text stands for its set; not joined by th alone, as many rows may have one text
-    one = own.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("one")).join(met, "sid").select("root", "sid", "one.doc_id", "one.th")
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).join(cut(one, "candidates"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    texts = cut(texts.select("root", "sid", "text"), "candidate-texts")
-    found = components(links(texts, part, part_bytes)).withColumnRenamed("node", "sid")
-    return own.join(found, "sid", "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, then text hash, with all its columns; rows without an id all stay."""
-    return first_of_each(docs, rooted(docs))

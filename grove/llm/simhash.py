@@ -24,10 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut, first_of_each, small_batches
+from grove.llm import jaccard
+from grove.llm.common import cut, first_of_each, give_back, small_batches
 from grove.llm.components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
+#: Bits of the fingerprints of shingle sets, and how many may differ in similar sets. A bit differs with a chance of 0.15 at
+#: similarity 0.8 (0.19 in the smallest sets), so more than LONG_RADIUS do once in a million pairs, in most cases far more rarely.
+LONG_BITS, LONG_RADIUS = 128, 48
 #: Fingerprints that are compared in one group at most.
 LIMIT = 8192
 #: Pairs of a fingerprint and a word of 64 lanes that are under comparison at once.
@@ -48,6 +52,11 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())], repeat(SEED))
     h = np.fromiter(hashes, np.uint64, max(n, 1))
+    return _majority(h)
+
+
+def _majority(h: np.ndarray) -> int:
+    """Each bit is 1 if set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = np.ascontiguousarray(h[i : i + (1 << 16)], dtype="<u8")
@@ -123,49 +132,58 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def close_pairs(fp: np.ndarray, planes: np.ndarray, valid: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs of a fingerprint fp[query] and a word: those with a lane within the radius (below 8), and the lanes as bits."""
+    """For pairs of a fingerprint fp[query] (a row of machine words) and a word: those with a lane within the radius, and the lanes as bits."""
     q = fp[query]
-    ones = np.zeros(len(q), np.uint64)
-    twos, fours, over = ones.copy(), ones.copy(), ~valid[word]
+    # digits of the distances to all lanes, the lowest first, enough for radius + 1; over: lanes whose distances need more
+    digits = [np.zeros(len(q), np.uint64) for _ in range(max(2, int(radius).bit_length()))]
+    over = ~valid[word]
     one = np.uint64(1)
 
     def beyond() -> np.ndarray:
-        # over holds counts of 8 and more; of those below, what is above the radius by its three bits
-        out = over.copy()
-        for count in range(radius + 1, 8):
-            is_count = (ones if count & 1 else ~ones) & (twos if count & 2 else ~twos) & (fours if count & 4 else ~fours)
-            out |= is_count
-        return out
-
-    for plane in range(0, 64, 4):
-        x = [planes[plane + k][word] ^ (np.uint64(0) - ((q >> np.uint64(plane + k)) & one)) for k in range(4)]
-        u = ones ^ x[0]
-        c1 = (ones & x[0]) | (u & x[1])
-        ones = u ^ x[1]
-        u = ones ^ x[2]
-        c2 = (ones & x[2]) | (u & x[3])
-        ones = u ^ x[3]
-        u = twos ^ c1
-        d = (twos & c1) | (u & c2)
-        twos = u ^ c2
-        over |= fours & d
-        fours ^= d
+        greater, equal = over.copy(), ~over
+        for k in range(len(digits) - 1, -1, -1):
+            if radius >> k & 1:
+                equal &= digits[k]
+            else:
+                greater |= equal & digits[k]
+                equal &= ~digits[k]
+        return greater
+
+    for plane in range(0, len(planes), 4):
+        mine = q[:, plane // 64]
+        x = [planes[plane + k][word] ^ (np.uint64(0) - ((mine >> np.uint64((plane + k) % 64)) & one)) for k in range(4)]
+        u = digits[0] ^ x[0]
+        c1 = (digits[0] & x[0]) | (u & x[1])
+        digits[0] = u ^ x[1]
+        u = digits[0] ^ x[2]
+        c2 = (digits[0] & x[2]) | (u & x[3])
+        digits[0] = u ^ x[3]
+        u = digits[1] ^ c1
+        carry = (digits[1] & c1) | (u & c2)
+        digits[1] = u ^ c2
+        for k in range(2, len(digits)):
+            digits[k], carry = digits[k] ^ carry, digits[k] & carry
+        over |= carry
         if plane % 8 == 4:
             alive = beyond() != ALL
             if 2 * np.count_nonzero(alive) < len(alive):
-                query, word, q, ones, twos, fours, over = (v[alive] for v in (query, word, q, ones, twos, fours, over))
+                query, word, q, over = (v[alive] for v in (query, word, q, over))
+                digits = [v[alive] for v in digits]
     near = ~beyond()
     hit = near != 0
     return query[hit], word[hit], near[hit]
 
 
 def linked(fp: np.ndarray, group: np.ndarray, part: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by group (a number) and part: the index of each row's class within its group."""
+    """For rows sorted by group (a number) and part: the index of each row's class within its group.
+
+    fp: signed longs, one a row or several (longer fingerprints). Rows whose whole group is one class by then ask no more.
+    """
     n = len(fp)
     label = np.arange(n)
     if not n:
         return label
-    fp = fp.view(np.uint64)
+    fp = np.ascontiguousarray(fp).view(np.uint64).reshape(n, -1)
     new_side = np.concatenate(([True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
     start = np.flatnonzero(new_side)
     side = np.cumsum(new_side) - 1
@@ -175,9 +193,9 @@ def linked(fp: np.ndarray, group: np.ndarray, part: np.ndarray, i: np.ndarray, j
     first_word = np.concatenate(([0], np.cumsum(words)))
     word_of, lane = first_word[side] + at // 64, (at % 64).astype(np.uint64)
     begins = np.flatnonzero(np.concatenate(([True], word_of[1:] != word_of[:-1])))
-    planes = np.empty((64, first_word[-1]), np.uint64)
-    for b in range(64):
-        planes[b] = np.bitwise_or.reduceat(((fp >> np.uint64(b)) & np.uint64(1)) << lane, begins)
+    planes = np.empty((64 * fp.shape[1], first_word[-1]), np.uint64)
+    for b in range(len(planes)):
+        planes[b] = np.bitwise_or.reduceat(((fp[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << lane, begins)
     valid = np.bitwise_or.reduceat(np.uint64(1) << lane, begins)
     # against which words a row is compared: a lone side against itself, else the first side against the second
     mate = np.arange(len(start))
@@ -187,11 +205,17 @@ def linked(fp: np.ndarray, group: np.ndarray, part: np.ndarray, i: np.ndarray, j
     asks = lone | follows
     rows = np.flatnonzero(asks[side])
     per = words[mate[side[rows]]]
+    whole = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    group_of = np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1
     done = 0
     ends = np.cumsum(per)
     while done < len(rows):
         upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
         mine, count = rows[done:upto], per[done:upto]
+        if done:
+            least, most = np.minimum.reduceat(label, whole), np.maximum.reduceat(label, whole)
+            open_ = (least != most)[group_of[mine]]
+            mine, count = mine[open_], count[open_]
         query = np.repeat(mine, count)
         word = np.repeat(first_word[mate[side[mine]]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         query, word, near = close_pairs(fp, planes, valid, query, word, radius)
@@ -202,24 +226,23 @@ def linked(fp: np.ndarray, group: np.ndarray, part: np.ndarray, i: np.ndarray, j
     return label
 
 
-def links(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT, rows_at_once: int = 1 << 18) -> DataFrame:
-    """prints (fp, distinct) -> edges (a, b) that span each class of fingerprints within the radius of one another."""
+def compared(grouped: DataFrame, groups: list[str], prints: list[str], name: str, radius: int, rows_at_once: int = 1 << 18) -> DataFrame:
+    """Edges (a, b) between rows' names that span the classes of each group; groups: its columns, i and j (parts) the last two."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(frame: pd.DataFrame) -> pd.DataFrame:
-            head = frame[["g1", "g2", "i", "j"]].to_numpy()
+            head = frame[groups].to_numpy()
             group = np.concatenate(([0], np.cumsum((head[1:] != head[:-1]).any(axis=1)))) if len(frame) else np.zeros(0, int)
-            fp = frame["fp"].to_numpy()
-            label = linked(fp, group, frame["part"].to_numpy(), frame["i"].to_numpy(), frame["j"].to_numpy(), radius)
-            mine = np.flatnonzero(label != np.arange(len(label)))
-            return pd.DataFrame({"a": fp[mine], "b": fp[label[mine]]})
+            label = linked(frame[prints].to_numpy(), group, frame["part"].to_numpy(), frame["i"].to_numpy(), frame["j"].to_numpy(), radius)
+            mine, names = np.flatnonzero(label != np.arange(len(label))), frame[name].to_numpy()
+            return pd.DataFrame({"a": names[mine], "b": names[label[mine]]})
 
         held: list[pd.DataFrame] = []
         for batch in batches:
             held.append(batch)
             if sum(map(len, held)) >= rows_at_once:
                 frame = pd.concat(held, ignore_index=True)
-                head = frame[["g1", "g2", "i", "j"]].to_numpy()
+                head = frame[groups].to_numpy()
                 cut_at = np.flatnonzero((head[1:] != head[:-1]).any(axis=1))
                 if len(cut_at):
                     yield solved(frame.iloc[: cut_at[-1] + 1])
@@ -229,9 +252,13 @@ def links(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT, rows_at_o
         if held:
             yield solved(pd.concat(held, ignore_index=True))
 
-    groups = ["g1", "g2", "i", "j"]
-    grouped = dealt(prints, radius, limit).repartition(*groups).sortWithinPartitions(*groups, "part")
-    return grouped.mapInPandas(rows, "a bigint, b bigint")
+    sorted_ = grouped.repartition(*groups).sortWithinPartitions(*groups, "part")
+    return sorted_.mapInPandas(rows, "a bigint, b bigint")
+
+
+def links(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT, rows_at_once: int = 1 << 18) -> DataFrame:
+    """prints (fp, distinct) -> edges (a, b) that span each class of fingerprints within the radius of one another."""
+    return compared(dealt(prints, radius, limit), ["g1", "g2", "i", "j"], ["fp"], "fp", radius, rows_at_once)
 
 
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
@@ -246,10 +273,70 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, limit: in
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, then text hash, with all its columns; rows without an id all stay."""
-    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    # by text hashes for ids: a text has one class, an id may have several
-    found = classes(own.select(F.col("th").alias("doc_id"), "text"), width, radius)
-    found = found.select(F.col("doc_id").alias("th"), F.col("component_id").alias("root")).distinct()
-    return first_of_each(docs, own.select("doc_id", "th").join(found, "th"))
+def long_print(hashes: np.ndarray) -> list[int]:
+    """The LONG_BITS fingerprint of a set of hashes, as signed longs: each bit is 1 if set in over half of the hashes."""
+    out = []
+    for k in range(LONG_BITS // 64):
+        h = hashes if k == 0 else (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        out.append(_majority(h ^ (h >> np.uint64(32))))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
+def _long_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, th, sid, bands and f0, f1, ... of each document: hashes of its text and of its shingle set, keys, fingerprint."""
+    names = [f"f{k}" for k in range(LONG_BITS // 64)]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [jaccard.shingles(t) for t in batch["text"]]
+            sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+            frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "sid": sid, "bands": [jaccard.bands(s) for s in found]})
+            yield frame.assign(**dict(zip(names, np.array([long_print(s) for s in found], np.int64).T)))
+            del found, frame
+            give_back()
+
+    text = F.coalesce("text", F.lit(""))
+    schema = "doc_id bigint, th bigint, sid bigint, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in names)
+    return small_batches(docs).select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(rows, schema)
+
+
+def candidates(own: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """own (sid, bands, f0, f1, ...) -> edges between sets that share a band and whose fingerprints are within LONG_RADIUS.
+
+    A group of more than `limit` sets is dealt out as pairs of parts, as in dealt().
+    """
+    names = [c for c in own.columns if c[0] == "f"]
+    met = own.select("sid", *names, F.explode("bands").alias("g")).dropDuplicates(["sid", "g"])
+    sizes = met.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / limit).cast("int").alias("k"))
+    rows = met.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    grouped = rows.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", *names)
+    return compared(grouped, ["g", "i", "j"], names, "sid", LONG_RADIUS)
+
+
+def similar_roots(docs: DataFrame, limit: int = LIMIT, part: int = jaccard.PART, part_bytes: int = jaccard.PART_BYTES) -> DataFrame:
+    """doc_id, th and root of each document with an id: root names its class of similar texts, th is the hash of its text.
+
+    Texts are similar whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and classes are transitive.
+    At that similarity fingerprints of 64 bits differ in about ten, more than blocks of bits can find, so sets meet by MinHash
+    bands instead of blocks; the groups are compared as those of fingerprints are, by bit-sliced distances, here of LONG_BITS
+    bits; and what is within LONG_RADIUS is compared exactly by jaccard before it counts.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
+    own = cut(_long_prints(docs), "shingle-sets")
+    met = cut(components(candidates(own, limit)), "clusters").withColumnRenamed("node", "sid")
+    # a document whose text stands for its set; not joined by th alone, as many rows may have one text
+    one = own.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("one")).join(met, "sid").select("root", "sid", "one.doc_id", "one.th")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).join(cut(one, "candidates"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    texts = cut(texts.select("root", "sid", "text"), "candidate-texts")
+    found = components(jaccard.links(texts, part, part_bytes)).withColumnRenamed("node", "sid")
+    return own.join(found, "sid", "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each class of similar texts, that with the smallest doc_id, then text hash, with all its columns.
+
+    Rows without an id all stay; of rows with one id and one text one stays.
+    """
+    return first_of_each(docs, similar_roots(docs))

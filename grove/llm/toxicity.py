@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.common import cut, small_batches
 
-SAMPLE, VOTERS, THRESHOLD = 20_000, 256, 0.3
+SAMPLE, VOTERS, THRESHOLD = 20_000, 128, 0.3
 FOLDS, HELD_OUT = 4, 2
 PREFIXES = (4, 5, 6)
 #: Hits in a text from which a voter may fire.
@@ -279,42 +279,64 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int
         model.bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share else -30.0)
         return model
 
+    known = companions(rows, model)
+
     def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hits = [model.hits(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "voter": [list(h) for h in hits], "n": [list(h.values()) for h in hits], "words": [_frequent(t) for t in batch["text"]]})
-
-    shape = "doc_id bigint, toxic int, voter array<int>, n array<int>, words array<string>"
-    # `sample` rows at most, a hundred words each
-    seen = rows.mapInPandas(fired, shape).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
-    x = np.zeros((len(seen), len(model.voters)))
+            votes = [votes_of(h, t, model, known).tobytes() for h, t in zip(hits, batch["text"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "voter": [list(h) for h in hits], "n": [list(h.values()) for h in hits], "votes": votes})
+
+    # `sample` rows at most, of `voters` bytes and what fires
+    seen = rows.mapInPandas(fired, "doc_id bigint, toxic int, voter array<int>, n array<int>, votes binary").toPandas()
+    seen = seen.sort_values("doc_id", kind="stable", ignore_index=True)
+    x = np.zeros((len(seen), 2 * len(model.voters)), np.float32)
+    often = np.array(model.often)
     for i, (v, n) in enumerate(zip(seen["voter"], seen["n"])):
-        x[i, v] = np.log1p(np.asarray(n, dtype=float))
-    fires = x >= np.log1p(model.often)
-    posterior, model.labels = label_model(votes_of(fires, list(seen["words"])))
+        x[i, v], x[i, np.asarray(v, int) + len(often)] = np.log1p(np.asarray(n, float)), np.asarray(n) >= often[np.asarray(v, int)]
+    votes = np.frombuffer(b"".join(seen["votes"]), np.uint8).reshape(len(seen), -1)
+    posterior, model.labels = label_model(votes)
     given = seen["toxic"].to_numpy() > 0
     if posterior[given].mean() < posterior[~given].mean():  # the labels say which of the two classes is toxic
         posterior = 1 - posterior
-    model.weights, model.bias = linear(np.hstack([x, fires]), posterior)
+    model.weights, model.bias = linear(x, posterior)
     return model
 
 
-def _frequent(text: str) -> list[str]:
-    """The number of a text's words, and its hundred most frequent ones."""
-    found = LETTERS.findall(text.lower())
-    return [str(len(found)), *(w for w, _ in sorted(Counter(found).items(), key=lambda c: (-c[1], c[0]))[:100])]
+def _frequent(words: list[str], n: int = 100) -> list[str]:
+    """The most frequent words."""
+    return [w for w, _ in sorted(Counter(words).items(), key=lambda c: (-c[1], c[0]))[:n]]
+
 
+def companions(rows: DataFrame, model: Model, n: int = COMPANIONS) -> list[set[str]]:
+    """For each voter the n words that are among the frequent ones of most texts in which it fires."""
 
-def votes_of(fires: np.ndarray, words: list[list[str]]) -> np.ndarray:
-    """The votes of all voters on all texts; words: the number of a text's words and the most frequent of them."""
-    votes = np.where(fires, TOXIC, ABSTAINS)
-    long = np.array([int(w[0]) >= LONG for w in words])
-    texts = [set(w[1:]) for w in words]
-    for v in range(fires.shape[1]):
-        held = Counter(w for i in np.flatnonzero(fires[:, v]) for w in texts[i])
-        companions = {w for w, _ in sorted(held.items(), key=lambda c: (-c[1], c[0]))[:COMPANIONS]}
-        knows = np.array([len(companions & t) >= DOMAIN for t in texts])
-        votes[~fires[:, v] & long & knows, v] = CLEAN
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            count: Counter = Counter()
+            for text in batch["text"]:
+                fires = [v for v, hits in model.hits(text).items() if hits >= model.often[v]]
+                if fires:
+                    frequent = _frequent(LETTERS.findall(text.lower()))
+                    count.update((v, w) for v in fires for w in frequent)
+            yield pd.DataFrame([(v, w, c) for (v, w), c in count.items()], columns=["voter", "word", "n"])
+
+    sums = rows.mapInPandas(counted, "voter int, word string, n bigint").groupBy("voter", "word").agg(F.sum("n").alias("n"))
+    first = F.row_number().over(Window.partitionBy("voter").orderBy(F.desc("n"), "word"))
+    out: list[set[str]] = [set() for _ in model.voters]
+    for r in sums.withColumn("__n", first).where(F.col("__n") <= n).collect():  # n words a voter
+        out[r["voter"]].add(r["word"])
+    return out
+
+
+def votes_of(hits: dict[int, int], text: str, model: Model, known: list[set[str]]) -> np.ndarray:
+    """The votes of all voters on a text; known: each voter's companions."""
+    words = LETTERS.findall(text.lower())
+    votes = np.full(len(known), ABSTAINS, np.uint8)
+    if len(words) >= LONG:
+        frequent = set(_frequent(words))
+        votes[[len(mine & frequent) >= DOMAIN for mine in known]] = CLEAN
+    votes[[v for v, n in hits.items() if n >= model.often[v]]] = TOXIC
     return votes
 
 

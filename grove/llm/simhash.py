@@ -306,9 +306,11 @@ def candidates(own: DataFrame, limit: int = LIMIT) -> DataFrame:
     A group of more than `limit` sets is dealt out as pairs of parts, as in dealt().
     """
     names = [c for c in own.columns if c[0] == "f"]
-    met = own.select("sid", *names, F.explode("bands").alias("g")).dropDuplicates(["sid", "g"])
+    sets = own.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("bands", *names)])  # equal in all rows of a set
+    met = sets.select("sid", F.explode("bands").alias("g"))
     sizes = met.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / limit).cast("int").alias("k"))
-    rows = met.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    # fingerprints join what has met others, not all bands of all sets
+    rows = met.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).join(sets.select("sid", *names), "sid")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     grouped = rows.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", *names)
     return compared(grouped, ["g", "i", "j"], names, "sid", LONG_RADIUS)

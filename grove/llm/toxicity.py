@@ -46,7 +46,7 @@ LONG, COMPANIONS, DOMAIN = 20, 12, 3
 #: Votes.
 CLEAN, TOXIC, ABSTAINS = 0, 1, 2
 #: Words whose voters a worker remembers.
-KEPT = 300_000
+KEPT = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove import sqlcorpus
+from grove import sqlcorpus, workload_queries
 from grove.functions import encryption
 from grove.functions.expressions import hash_bucket, hash_sample, suffix_products, text_contains
 from grove.operators import changes, counting, graph, padding, positions, reduce, scans
@@ -541,3 +541,5 @@ def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES |= {name: _text_query(text) for name, text in TEXTS.items()}
+QUERIES |= workload_queries.QUERIES
+ORACLE_SQL |= workload_queries.ORACLE_SQL

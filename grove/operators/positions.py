@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grove.functions.expressions import times
 from grove.operators.counting import with_counts
-from grove.operators.scans import expand, global_prefix_sum
+from grove.operators.scans import expand, global_fill_down, global_prefix_sum
 from grove.plans.tree import JoinTree
 
 
@@ -84,12 +84,13 @@ def at_positions(tree: JoinTree, frames: list[DataFrame], positions: DataFrame)
     counted = with_counts(tree, frames)
     root = tree.root
     rows = _numbered_root(tree, counted[root], frames[root].columns)
-    # coarse blocks make the look-up an equi-join; a root row is entered in each block that it reaches into
-    size = max(1, (rows.agg(F.max("__delta").alias("m")).first()["m"] or 1))
-    block = lambda x: F.call_function("div", x, F.lit(size).cast("long"))
-    entered = rows.withColumn("__block", F.explode(F.sequence(block(F.col("__start")), block(F.col("__start") + F.col("__delta") - 1))))
-    asked = positions.select(F.col("pos").cast("long").alias("__pos")).withColumn("__block", block(F.col("__pos")))
-    met = asked.join(entered, "__block").where((F.col("__pos") >= F.col("__start")) & (F.col("__pos") < F.col("__start") + F.col("__delta")))
+    # positions and first positions in one order: each position belongs to the last row that starts up to it
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    starts = rows.select(F.col("__start").alias("__pos"), F.lit(0).cast("long").alias("__n"), whole.alias("__row"))
+    asked = positions.select(F.col("pos").cast("long").alias("__pos")).where("__pos >= 0")
+    asked = asked.select("__pos", (F.monotonically_increasing_id() + 1).alias("__n"), F.lit(None).cast(starts.schema["__row"].dataType).alias("__row"))
+    met = global_fill_down(starts.unionByName(asked), F.col("__n") == 0, "__row", ["__pos", "__n"], "__owner")
+    met = met.where("__n > 0 AND __owner IS NOT NULL").select("__pos", "__owner.*").where(F.col("__pos") < F.col("__start") + F.col("__delta"))
     return _trace(tree, frames, counted, met.withColumn(f"__l{root}", F.col("__pos") - F.col("__start")))
 
 

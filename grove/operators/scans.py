@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from grove.functions.expressions import times
+from grove.operators.reduce import augment
 from grove.storage import cut
 
 
@@ -61,6 +63,28 @@ def fill_down(df: DataFrame, marked: Column, columns: list[str], segment: list[s
     return df.withColumn("__held", held).select(*[F.col(f"__held.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def global_fill_down(df: DataFrame, marked: Column, held: str, order: list[str], out: str) -> DataFrame:
+    """df with the column `held` of the last marked row up to this one in an order over the whole table, as `out`.
+
+    Rows are sorted by range into partitions and written; each is scanned by itself from the last marked row before it. One
+    value a partition reaches the driver. The order should cover enough columns that equal rows may be parted.
+    """
+    placed = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("__held", F.when(marked, F.struct(held))), "ordered")
+    last = placed.where("__held IS NOT NULL").groupBy("__part").agg(F.max_by("__held", "__at").alias("h")).orderBy("__part").collect()
+    parts = [r["__part"] for r in placed.select("__part").distinct().orderBy("__part").collect()]
+    carried, now, book = iter(last), None, []
+    ahead = next(carried, None)
+    for part in parts:
+        while ahead is not None and ahead["__part"] < part:
+            now, ahead = ahead["h"], next(carried, None)
+        book.append((part, now))
+    before = df.sparkSession.createDataFrame(book, StructType([StructField("__part", IntegerType()), StructField("__carried", placed.schema["__held"].dataType)]))
+    w = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.withColumn("__last", F.last("__held", ignorenulls=True).over(w)).join(F.broadcast(before), "__part")  # a row a partition
+    return filled.withColumn(out, F.coalesce("__last", "__carried")[held]).select(*df.columns, out)
+
+
 #: A row's copies are made in blocks of this many, so that no array grows with the weight.
 COPIES = 1 << 16
 
@@ -75,10 +99,48 @@ def expand(df: DataFrame, weight: str, ordinal: str | None = None, least: int =
     return rows.select(*df.columns, *([(F.col("__o") + F.col("__b") * COPIES).alias(ordinal)] if ordinal else []))
 
 
-def compact(df: DataFrame, keep: Column, n: int | None = None, order: list[Column | str] = ()) -> DataFrame:
-    """The rows to keep; with n, the first n of them in an order."""
+def compact(df: DataFrame, keep: Column, n: int | None = None, order: list[Column | str] = (), pad: bool = False) -> DataFrame:
+    """The rows to keep; with n, the first n of them in an order; with pad, rows of nulls after them up to n, told by is_dummy."""
     out = df.where(keep)
-    return out if n is None else out.orderBy(*order).limit(n)
+    out = out if n is None else out.orderBy(*order).limit(n)
+    return _filled(out, n) if pad and n is not None else out
+
+
+def _filled(df: DataFrame, n: int) -> DataFrame:
+    have = df.count()
+    dummies = df.sparkSession.range(max(0, n - have)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], F.lit(True).alias("is_dummy"))
+    return df.withColumn("is_dummy", F.lit(False)).unionByName(dummies)
+
+
+def expand_to(df: DataFrame, weight: str, size: int, order: list[Column | str], ordinal: str = "__copy") -> DataFrame:
+    """Each row as often as its weight says, once at least; the first `size` copies in an order, padded to that size.
+
+    Weights are added up before anything is copied, so a copy that would be cut is not made.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns({n: F.col(o) if isinstance(o, str) else o for n, o in zip(names, order)})
+    keyed = keyed.withColumn("__w", F.greatest(F.col(weight), F.lit(1)).cast("long"))
+    summed = global_prefix_sum(keyed, "__w", names, "__first").where(F.col("__first") < size)
+    some = summed.withColumn("__w", F.least(F.col("__w"), F.lit(size).cast("long") - F.col("__first")))
+    return _filled(expand(some, "__w", ordinal).select(*df.columns, ordinal), size)
+
+
+def zip_join(left: DataFrame, right: DataFrame, on: str, to: str, order: tuple[list[str], list[str]], size: int | None = None) -> DataFrame:
+    """The inner join of two sides with distinct column names by expansion and alignment, without matching all with all.
+
+    Each side's rows carry how many of their key both sides have (a1, a2). A left row is copied a2 times, a right row a1
+    times, and both copies get the place in their key's block at which they meet: one equal place for each pair. The zip is
+    an equi-join on key and place, so a hot key is as many join keys as it has pairs. size: the result is cut or padded to
+    so many rows, in the order of key and place.
+    """
+    l, r = augment(left, right, on, to)
+    rank = lambda df, key, by: df.withColumn("__c", F.row_number().over(Window.partitionBy(key).orderBy(*by)) - 1)
+    a = expand(rank(l, on, order[0]), "a2", "__i").withColumn("__place", F.col("__c") * F.col("a2") + F.col("__i")).drop("__c", "__i", "a1", "a2")
+    b = expand(rank(r, to, order[1]), "a1", "__i").withColumn("__place", F.col("__i") * F.col("a2") + F.col("__c")).drop("__c", "__i", "a1", "a2")
+    met = a.join(b.withColumnRenamed("__place", "__there"), (F.col(on) == F.col(to)) & (F.col("__place") == F.col("__there")))
+    if size is None:
+        return met.drop("__place", "__there")
+    return _filled(met.orderBy(on, "__place").limit(size).drop("__place", "__there"), size)
 
 
 def child_rank(df: DataFrame, key: list[str], delta: str, order: list[Column | str], out: str = "rank") -> DataFrame:

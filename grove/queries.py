@@ -351,6 +351,42 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, on).select("user_id", "event_id", "other")
 
 
+@query("SELECT s_suppkey, s_nationkey, c_custkey, c_nationkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def two_way_zip_join(spark: SparkSession, d: str) -> DataFrame:
+    left, right = t(spark, d, "supplier", "s_suppkey", "s_nationkey"), t(spark, d, "customer", "c_custkey", "c_nationkey")
+    return scans.zip_join(left, right, "s_nationkey", "c_nationkey", (["s_suppkey"], ["c_custkey"]))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier), b AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j FROM customer)
+SELECT s_suppkey, s_nationkey, c_custkey, c_nationkey, false AS is_dummy FROM a JOIN b ON s_nationkey = c_nationkey ORDER BY s_nationkey, i, j LIMIT 40""")
+def two_way_zip_join_cut(spark: SparkSession, d: str) -> DataFrame:
+    left, right = t(spark, d, "supplier", "s_suppkey", "s_nationkey"), t(spark, d, "customer", "c_custkey", "c_nationkey")
+    return scans.zip_join(left, right, "s_nationkey", "c_nationkey", (["s_suppkey"], ["c_custkey"]), 40)
+
+
+@query(f"""
+SELECT user_id, event_id, v, o, false AS is_dummy FROM (SELECT user_id, event_id, v, unnest(generate_series(CAST(0 AS BIGINT), greatest(v, 1) - 1)) AS o FROM {_E}) AS x ORDER BY user_id, event_id, o LIMIT 1000""")
+def expand_to_size(spark: SparkSession, d: str) -> DataFrame:
+    return scans.expand_to(_events(spark, d).select(*EVENT, "v"), "v", 1000, list(EVENT), "o")
+
+
+@query(f"""
+SELECT user_id, event_id, v, false AS is_dummy FROM {_E} WHERE v = 3 AND user_id < 3 UNION ALL
+SELECT NULL, NULL, NULL, true FROM range(CAST(100000 - (SELECT count(*) FROM events WHERE event_id % 7 = 3 AND user_id < 3) AS BIGINT))""")
+def compact_and_pad(spark: SparkSession, d: str) -> DataFrame:
+    return scans.compact(_events(spark, d).select(*EVENT, "v"), (F.col("v") == 3) & (F.col("user_id") < 3), 100_000, list(EVENT), pad=True)
+
+
+@query("""
+WITH j AS (SELECT *, row_number() OVER (ORDER BY r0__n_nationkey, r1__s_suppkey, r2__c_custkey) - 1 AS pos FROM (""" + STAR_SQL + """) AS x)
+SELECT pos, r0__n_nationkey, r1__s_suppkey, r2__c_custkey FROM j JOIN (SELECT c_custkey * 3 - 3 AS p FROM customer) AS a ON pos = p""")
+def at_positions(spark: SparkSession, d: str) -> DataFrame:
+    asked = t(spark, d, "customer").select((F.col("c_custkey") * 3 - 3).alias("pos"))
+    rows = positions.at_positions(STAR, star_frames(spark, d), asked)
+    return rows.select(F.col("__pos").alias("pos"), "r0__n_nationkey", "r1__s_suppkey", "r2__c_custkey")
+
+
 @query("SELECT l_suppkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber) AS INT) AS n FROM lineitem")
 def multi_number(spark: SparkSession, d: str) -> DataFrame:
     return scans.multi_number(t(spark, d, "lineitem", "l_suppkey", "l_linenumber"), "n")
@@ -536,6 +572,21 @@ def dialect_decode_and_coercion(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT o_orderkey, decode(o_orderstatus, 'F', 1, 'O', 2, 0) AS k FROM orders WHERE o_custkey IN ('1', '10', '100')")
 
 
+_SEALED = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("""
+SELECT l_returnflag, round(sum(l_quantity * (1 - l_discount)), 4) AS net, CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large, round(max(l_tax) - min(l_tax), 6) AS spread
+FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 GROUP BY l_returnflag""")
+def encrypted_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Comparison, arithmetic and aggregates over sealed columns, opened inside the expressions."""
+    key = b"0123456789abcdef"
+    sealed = encryption.encrypted(t(spark, d, "lineitem", "l_returnflag", *_SEALED), _SEALED, key)
+    quantity, discount, tax = (encryption.opened(c, "double", key) for c in _SEALED)
+    rows = sealed.where(discount.between(0.02, 0.06)).groupBy("l_returnflag")
+    return rows.agg(F.round(F.sum(quantity * (1 - discount)), 4).alias("net"), F.sum((quantity > 25).cast("long")).alias("large"), F.round(F.max(tax) - F.min(tax), 6).alias("spread"))
+
+
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: sqlcorpus.run(spark, d, text)
 

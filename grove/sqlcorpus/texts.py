@@ -143,4 +143,19 @@ SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE
 SELECT k, n FROM (SELECT c_nationkey AS k, CASE WHEN count(*) > 60 THEN NULL ELSE count(*) END AS n FROM customer GROUP BY c_nationkey) AS t ORDER BY n ASC NULLS LAST, k LIMIT 12""",
     "sql_explicit_join_on": "SELECT n_name, r_name, count(s_suppkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name",
     "sql_self_join": "SELECT a.o_custkey AS k, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey GROUP BY a.o_custkey",
+    "sql_rollup_by_levels": """
+WITH x AS (SELECT r_name, n_name, s_suppkey, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name, n_name, round(avg(s_acctbal), 4) AS bal, count(*) AS n FROM x GROUP BY r_name, n_name
+UNION ALL SELECT r_name, NULL AS n_name, round(avg(s_acctbal), 4) AS bal, count(*) AS n FROM x GROUP BY r_name
+UNION ALL SELECT NULL AS r_name, NULL AS n_name, round(avg(s_acctbal), 4) AS bal, count(*) AS n FROM x""",
+    "sql_date_difference": """
+SELECT l_returnflag, CAST(sum(CASE WHEN CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS INT) <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS d30,
+  CAST(sum(CASE WHEN CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS INT) > 30 AND CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS INT) <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS d60,
+  max(CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS INT)) AS longest
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag""",
+    "sql_numeric_strings": "SELECT l_returnflag, round(sum(l_extendedprice * ('1' - l_discount)), 4) AS revenue, count(*) AS n FROM lineitem WHERE l_quantity < '24' GROUP BY l_returnflag",
+    "sql_random": "SELECT count(*) AS n, CAST(sum(CASE WHEN k BETWEEN 0 AND 9 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM (SELECT c_custkey, floor(random() * 10) AS k FROM customer WHERE random() >= 0) AS x",
+    "sql_scalar_operations": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice + l_quantity - l_tax * 3 / 7, 6) AS a, round(-(l_quantity - 25) * (l_quantity - 25), 6) AS b, l_partkey % 11 + l_suppkey % 7 AS c,
+  l_quantity + 1 > 20 AS d, NOT (l_discount = 0.05 OR l_tax <> 0.02) AS e, l_partkey - l_suppkey <= 0 AND l_linenumber >= 3 AS f, round(abs(l_discount - l_tax) / (1 + l_tax), 6) AS g FROM lineitem""",
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grove.functions.expressions import MOST, hash_sample, times
-from grove.operators import graph, padding, scans
+from grove.operators import graph, padding, positions, scans
 from grove.operators.sensitivity import Bounds, Lattice, beta, evaluations, largest_k, residual, smooth_sensitivity
 from grove.plans.joins import tree_join
 from grove.plans.tree import SHAPES, JoinTree
@@ -105,6 +105,36 @@ def test_scans(spark):
     assert sorted(r["n"] for r in numbered.collect()) == [1, 1, 2]
 
 
+def test_global_fill_down(spark):
+    rows = [(i, i * i if i % 7 == 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "o int, v int").repartition(6)
+    got = {r["o"]: r["last"] for r in scans.global_fill_down(df, F.col("v").isNotNull(), "v", ["o"], "last").collect()}
+    assert got == {i: next((j * j for j in range(i, -1, -1) if j % 7 == 3), None) for i in range(200)}
+    assert scans.global_fill_down(df.limit(0), F.col("v").isNotNull(), "v", ["o"], "last").count() == 0
+
+
+def test_sized_results(spark):
+    df = spark.createDataFrame([(1, 2), (2, 0), (3, 5)], "o int, w int")
+    copies = lambda n: sorted((r["o"], r["k"], r["is_dummy"]) for r in scans.expand_to(df, "w", n, ["o"], "k").where("NOT is_dummy").collect())
+    assert copies(5) == [(1, 0, False), (1, 1, False), (2, 0, False), (3, 0, False), (3, 1, False)]
+    assert scans.expand_to(df, "w", 20, ["o"]).where("is_dummy").count() == 12
+    assert [scans.compact(df, F.col("w") > 0, n, ["o"], pad=True).count() for n in (1, 2, 9)] == [1, 2, 9]
+    left, right = spark.createDataFrame([(k % 3 or None, k) for k in range(40)], "k int, a int"), spark.createDataFrame([(1, 7), (1, 7), (2, 9), (None, 1), (5, 5)], "q int, b int")
+    want = sorted((k % 3, k, q, b) for k in range(40) for q, b in ((1, 7), (1, 7), (2, 9)) if k % 3 == q)
+    assert sorted(map(tuple, scans.zip_join(left, right, "k", "q", (["a"], ["b"])).collect())) == want
+    assert scans.zip_join(left, right, "k", "q", (["a"], ["b"]), 100).where("is_dummy").count() == 100 - len(want)
+
+
+def test_positions_of_a_skewed_root(spark):
+    """One root row owns nearly all positions: the others' are found, and asked positions that repeat all get their row."""
+    tree = JoinTree.of([-1, 0], [-1, 0], [-1, 0])
+    root = spark.range(500).select((F.col("id") + 1).cast("int").alias("c0"))
+    child = spark.range(3000).select(F.when(F.col("id") < 500, F.col("id") + 1).otherwise(250).cast("int").alias("c0"))
+    asked = spark.createDataFrame([(p,) for p in [0, 5, 248, 249, 250, 2748, 2749, 2750, 2750, 2999, 3000, -1, 10**12]], "pos long")
+    got = sorted((r["__pos"], r["r0__c0"]) for r in positions.at_positions(tree, [root, child], asked).collect())
+    assert got == [(0, 1), (5, 6), (248, 249), (249, 250), (250, 250), (2748, 250), (2749, 250), (2750, 251), (2750, 251), (2999, 500)]
+
+
 def test_expressions(spark):
     row = spark.range(1).select(times(F.lit(1 << 40), F.lit(1 << 40)).alias("a"), times(F.lit(3).cast("long"), F.lit(4).cast("long")).alias("b")).first()
     assert (row["a"], row["b"]) == (MOST, 12)

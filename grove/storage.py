@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Where it is unset a session in one process gets a folder of its own; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again, so that its lineage ends and its rows are fixed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

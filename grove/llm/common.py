@@ -1,10 +1,9 @@
-"""What the operators of this subpackage share: words, shared folders, bound variables in SQL lambdas."""
+"""What the operators of this subpackage share: words, tables, sizes, bound variables in SQL lambdas."""
 
 from __future__ import annotations
 
 import ctypes
 import math
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,27 +27,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The row of each class with the smallest (doc_id, th), with all its columns; rows without an id all stay.
 

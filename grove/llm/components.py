@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import cut
+from grove.storage import cut
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    # written, so that the join's large partitions, those of nodes with very many links, can be split
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
     return edges.join(least, "u").withColumn("m", F.least("u", "least"))
 
 
@@ -28,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         small = _star(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small, "edges")

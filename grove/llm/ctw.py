@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import buckets_for, cut, small_batches, text_bytes
+from grove.llm.common import buckets_for, small_batches, text_bytes
+from grove.storage import cut
 
 DEPTH = 5
 #: Contexts that end in the same so many bytes are in one shard.

@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grove.llm import jaccard
-from grove.llm.common import cut, first_of_each, give_back, small_batches
+from grove.llm.common import first_of_each, give_back, small_batches
 from grove.llm.components import components
+from grove.storage import cut
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Bits of the fingerprints of shingle sets, and how many may differ in similar sets. A bit differs with a chance of 0.15 at

@@ -23,15 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.common import buckets_for, cut, shared_path
+from grove.llm.common import buckets_for
+from grove.storage import cut, shared_path
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The time that fresh headers state unless one is given: fixed, so that a task done again writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-#: Payload bytes that an archive holds, about.
-ARCHIVE_BYTES = 8 << 20
+#: Payload bytes that an archive holds and that a task writes, about: a task writes several archives.
+ARCHIVE_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, digest_holds boolean"
 
 
@@ -66,8 +67,10 @@ def write(pages: DataFrame, least: int = 0, date: str = DATE) -> str:
     own = pages.select("page_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"payload_digest": base32_sha1(F.col("html")), "payload_bytes": F.octet_length("html").cast("long")})
     decided = resolve(own.select("page_id", "payload_digest", "payload_bytes"), least).where("record_type = 'revisit'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to").distinct()
-    # payloads move once: the join's partitions are the archives. Of rows that repeat an id, each meets its own digest only
-    n = buckets_for(own.agg(F.sum("payload_bytes").alias("n")).first()["n"] or 0, ARCHIVE_BYTES, 6)
+    # payloads move once: what a task joins it writes. Of rows that repeat an id, each meets its own digest only; the digests
+    # are compared by instr, as an equality would have the planner deal payloads out anew, by both columns
+    size, count = own.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
+    n = buckets_for(size or 0, TASK_BYTES, 6)
     same = (F.col("page_id") == F.col("__id")) & (F.instr("payload_digest", F.col("__digest")) == 1)
     met = own.repartition(n, "page_id").join(decided.repartition(n, "__id"), same, "left")
     revisit = F.col("refers_to").isNotNull()
@@ -84,7 +87,8 @@ def write(pages: DataFrame, least: int = 0, date: str = DATE) -> str:
     )
     archives = met.select(F.concat(header, F.lit(CRLF + CRLF), block).alias("value"))
     path = shared_path(spark, "warc")
-    archives.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    each = max(1, count * ARCHIVE_BYTES // max(1, size or 0))
+    archives.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
     return path
 
 

@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.llm.common import give_back, small_batches
+from grove.llm.spans import word_pieces
 from grove.storage import cut
 
 WIDTH, SEED = 5, 42
 #: Similarity from which texts are near copies, in hundredths: compared without rounding.
 LEAST = 80
 BANDS, ROWS = 32, 5
+#: Bytes of a text that are split into words at once, about.
+PIECE = 1 << 20
 #: Sets and bytes of text of a part of a cluster, about.
 PART, PART_BYTES = 2048, 4 << 20
 _RNG = np.random.default_rng(SEED)
@@ -35,18 +38,29 @@ _MASK = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
+def hashed_shingles(text: str, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles in order, some at a time, so that a long text is never a list of all its words.
+
+    A text of fewer words than a shingle is one shingle; one without words has none.
+    """
+    data = text.encode()
+    for first, piece in word_pieces(width)(data, PIECE) if len(data) > 2 * PIECE else [(0, data)]:
+        words = piece.lower().split()
+        n = len(words) - width + 1
+        joined = b" ".join(words)
+        if n > 0:
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            runs = [joined[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())]
+            yield np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, n)
+        elif words and not first:
+            yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+
+
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), len(words) - width + 1
-    if n < 1:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    runs = [joined[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, n))
+    found = list(hashed_shingles(text, width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def bands(own: np.ndarray) -> list[int]:

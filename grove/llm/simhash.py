@@ -15,8 +15,7 @@ doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,28 +40,18 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
-    words = text.encode().lower().split()
-    n = len(words) - width + 1
-    if not words:
-        return 0
-    if n < 1:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())], repeat(SEED))
-    h = np.fromiter(hashes, np.uint64, max(n, 1))
-    return _majority(h)
-
-
-def _majority(h: np.ndarray) -> int:
+    return _majority(jaccard.hashed_shingles(text, width))
+
+
+def _majority(hashes: Iterable[np.ndarray]) -> int:
     """Each bit is 1 if set in over half of the hashes."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        part = np.ascontiguousarray(h[i : i + (1 << 16)], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
+        for i in range(0, len(h), 1 << 16):
+            part = np.ascontiguousarray(h[i : i + (1 << 16)], dtype="<u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -279,7 +268,7 @@ def long_print(hashes: np.ndarray) -> list[int]:
     out = []
     for k in range(LONG_BITS // 64):
         h = hashes if k == 0 else (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-        out.append(_majority(h ^ (h >> np.uint64(32))))
+        out.append(_majority([h ^ (h >> np.uint64(32))]))
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 

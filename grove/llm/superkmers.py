@@ -14,9 +14,9 @@ than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -205,8 +205,16 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW, mers: int = MERS, chunk
 
 
 def _kept(text: str, s: np.ndarray, e: np.ndarray) -> tuple[int, int, bytes]:
-    words, gone = text.encode().split(), sp.merged(s, e)
-    return len(words), sum(b - a for a, b in gone), b" ".join(chain.from_iterable(sp.outside(words, gone)))
+    """The number of words, how many go, and those that stay; a long text is split into words piece by piece."""
+    data, gone = text.encode(), sp.merged(s, e)
+    starts, ends = [a for a, _ in gone], [b for _, b in gone]
+    out, n = [], 0
+    for first, piece in sp.word_pieces(1)(data, CHUNK) if len(data) > 2 * CHUNK else [(0, data)]:
+        words = piece.split()
+        n = first + len(words)
+        mine = gone[bisect_right(ends, first) : bisect_left(starts, n)]
+        out += [b" ".join(w) for w in sp.outside(words, [(max(a - first, 0), min(b - first, len(words))) for a, b in mine]) if w]
+    return n, sum(ends) - sum(starts), b" ".join(out)
 
 
 def _without(text: str, s: np.ndarray, e: np.ndarray) -> tuple:

@@ -94,6 +94,18 @@ def test_long_texts_are_cut():
         assert got == [(k, words[k : k + width]) for k in range(len(words) - width + 1)]
 
 
+def test_words_that_stay_in_a_long_text(monkeypatch):
+    monkeypatch.setattr(superkmers, "CHUNK", 20)
+    rng = random.Random(2)
+    for _ in range(200):
+        text = " \n".join("w" * rng.randint(1, 9) + str(k) for k in range(rng.randint(0, 60)))
+        n = len(text.split())
+        s = np.array([rng.randrange(max(n, 1)) for _ in range(rng.randint(0, 4))] if n else [], np.int64)
+        e = np.minimum(s + np.array([rng.randint(1, 20) for _ in s], np.int64), n)
+        gone = {k for a, b in zip(s.tolist(), e.tolist()) for k in range(a, b)}
+        assert superkmers._kept(text, s, e) == (n, len(gone), " ".join(w for k, w in enumerate(text.split()) if k not in gone).encode())
+
+
 def test_real_texts_recurse_and_spill():
     """At default sizes names are sorted by recursion, and the queues of a sort go to disk."""
     texts = [t for t in pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["text"])["text"].to_pylist() if t]

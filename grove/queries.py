@@ -467,7 +467,13 @@ def do_stats(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s.exact, s.sensitivity, round(s.factor, 6), s.target)], "exact bigint, sensitivity bigint, factor double, target bigint")
 
 
-@query()
+@query("""
+WITH n AS (SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey) AS x) AS a, (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) AS x) AS b,
+  (SELECT count(*) FROM nation) AS rn, (SELECT count(*) FROM supplier) AS rs, (SELECT count(*) FROM customer) AS rc, 4 / (2 * ln(2 * exp(2) / 1e-9)) AS beta),
+k AS (SELECT *, CAST(floor(2 / beta) AS BIGINT) + 3 AS k FROM n), i AS (SELECT unnest(range(1000)) AS i),
+best AS (SELECT CAST(ceil(max(exp(-beta * (x.i + y.i)) * greatest((x.i + a) * (y.i + b), (x.i + 1) * (y.i + b), (x.i + 1) * (y.i + a)))) AS BIGINT) AS v FROM k, i AS x, i AS y WHERE x.i + y.i <= k)
+SELECT 'ok' AS status, greatest(1, least(v, c)) AS value, v AS by_degrees, v AS by_counts, v AS by_relaxation, c AS ceiling, max_k
+FROM (SELECT v, CAST(greatest(rs * rc, rn * rc, rn * rs) AS BIGINT) AS c, k AS max_k FROM best, k) AS z""")
 def smooth_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     from grove.operators.sensitivity import smooth_sensitivity as smooth
 

@@ -10,7 +10,7 @@ def test_same_rows_as_sql(same_rows, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(QUERIES) - set(ORACLE_SQL) == {"sampled_join_rows", "smooth_sensitivity"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"sampled_join_rows"}
 
 
 def test_sampled_rows_are_join_rows(spark):

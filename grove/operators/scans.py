@@ -167,6 +167,20 @@ def top_per_group(df: DataFrame, k: int, group: list[str], order: list[Column |
     return df.withColumn("__n", n).where(F.col("__n") <= k).drop("__n")
 
 
+def interval_join(left: DataFrame, right: DataFrame, key: tuple[str, str], at: str, there: str, width: int) -> DataFrame:
+    """Pairs of one key whose right place is in [left place, left place + width), places being integers.
+
+    Places are cut into bins of that width and a left row is entered in the two bins that its interval may reach into, so a
+    key's rows meet bin by bin and not all with all.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(width))
+    entered = left.withColumn("__cell", F.explode(F.array(cell(at), cell(at) + 1)))
+    binned = right.withColumn("__bin", cell(there))
+    on = (F.col(key[0]) == F.col(key[1])) & (F.col("__cell") == F.col("__bin"))
+    met = entered.join(binned, on & (F.col(there) >= F.col(at)) & (F.col(there) < F.col(at) + width))
+    return met.drop("__cell", "__bin")
+
+
 def composite_ids(left: DataFrame, right: DataFrame, on: list[str], to: list[str], out: str) -> tuple[DataFrame, DataFrame]:
     """One dense id, from 1, for each combination of key columns that either side has."""
     names = [f"__p{i}" for i in range(len(on))]

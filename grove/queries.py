@@ -347,8 +347,7 @@ SELECT a.user_id, a.event_id, b.event_id AS other FROM events a JOIN events b ON
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     a = t(spark, d, "events", "user_id", "event_id")
     b = a.select(F.col("user_id").alias("u"), F.col("event_id").alias("other"))
-    on = (F.col("user_id") == F.col("u")) & (F.col("other") >= F.col("event_id")) & (F.col("other") < F.col("event_id") + 200)
-    return a.join(b, on).select("user_id", "event_id", "other")
+    return scans.interval_join(a, b, ("user_id", "u"), "event_id", "other", 200).select("user_id", "event_id", "other")
 
 
 @query("SELECT s_suppkey, s_nationkey, c_custkey, c_nationkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")

@@ -125,6 +125,14 @@ def test_sized_results(spark):
     assert scans.zip_join(left, right, "k", "q", (["a"], ["b"]), 100).where("is_dummy").count() == 100 - len(want)
 
 
+def test_interval_join(spark):
+    a, b = [(k % 2, k * 7 % 50 - 25) for k in range(40)] + [(None, 1)], [(k % 3, k * 11 % 60 - 30) for k in range(40)] + [(None, 1)]
+    left, right = spark.createDataFrame(a, "k int, x int"), spark.createDataFrame(b, "q int, y int")
+    for width in (1, 4, 100):
+        want = sorted((k, x, q, y) for k, x in a for q, y in b if k is not None and k == q and x <= y < x + width)
+        assert sorted(map(tuple, scans.interval_join(left, right, ("k", "q"), "x", "y", width).collect())) == want
+
+
 def test_positions_of_a_skewed_root(spark):
     """One root row owns nearly all positions: the others' are found, and asked positions that repeat all get their row."""
     tree = JoinTree.of([-1, 0], [-1, 0], [-1, 0])

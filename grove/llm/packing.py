@@ -5,7 +5,7 @@ each into the tightest sequence that it fits. Lengths are integers up to the cap
 needs only the number of pieces of each length: a segment tree over remaining capacities finds the tightest open capacity
 in logarithmic time, and all sequences of one remaining capacity are filled by one entry of the plan. The plan depends on
 the capacity, not on the number of documents. The pieces then look up their place by their rank within their length, a
-rank that is dealt out bucket by bucket, so that no task holds all pieces of a common length.
+rank that is dealt out bucket by bucket, so that no task holds all pieces of a common length, nor all rows of one id.
 
 Defined results: null and empty texts are the end token alone, one piece of length 1; repeated rows are packed each for
 itself, and ties in length are broken by id, piece and start; null ids come first; an empty table gives no rows; columns
@@ -188,7 +188,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, rows_each: int = 20_000) -
     book = spark.createDataFrame(table, ", ".join(f"{n} bigint" for n in names))
     book = F.broadcast(book) if len(fills) <= BROADCAST_ENTRIES else book
     n = max(8, sum(counts.values()) // rows_each)
-    dealt = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
+    dealt = parts.withColumn("__bucket", F.pmod(F.xxhash64(*parts.columns), F.lit(n)).cast("int"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start")

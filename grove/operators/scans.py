@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from grove.functions.expressions import times
-from grove.operators.reduce import augment
+from grove.operators import spread
+from grove.operators.spread import blocks_of, copies, key_counts, meet
 from grove.storage import cut
 
 
@@ -85,18 +86,14 @@ def global_fill_down(df: DataFrame, marked: Column, held: str, order: list[str],
     return filled.withColumn(out, F.coalesce("__last", "__carried")[held]).select(*df.columns, out)
 
 
-#: A row's copies are made in blocks of this many, so that no array grows with the weight.
-COPIES = 1 << 16
+def expand(df: DataFrame, weight: str, ordinal: str | None = None, least: int = 0, even: bool = False) -> DataFrame:
+    """Each row as often as its weight says (at least `least`); ordinal: a column for the number of the copy, from 0.
 
-
-def expand(df: DataFrame, weight: str, ordinal: str | None = None, least: int = 0) -> DataFrame:
-    """Each row as often as its weight says (at least `least`); ordinal: a column for the number of the copy, from 0."""
+    even: weights are added up by an action first and the copies dealt over tasks, for a few rows of very large weights.
+    """
     n = F.greatest(F.col(weight), F.lit(least)).cast("long")
-    some = df.withColumn("__n", n).where("__n > 0")
-    blocks = some.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPIES}"))))
-    size = F.least(F.lit(COPIES).cast("long"), F.col("__n") - F.col("__b") * COPIES)
-    rows = blocks.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
-    return rows.select(*df.columns, *([(F.col("__o") + F.col("__b") * COPIES).alias(ordinal)] if ordinal else []))
+    total = (df.agg(F.sum(n.cast("double")).alias("n")).first()["n"] or 0) if even else 0
+    return copies(df, n, ordinal or "__copy", total).select(*df.columns, *([ordinal] if ordinal else []))
 
 
 def compact(df: DataFrame, keep: Column, n: int | None = None, order: list[Column | str] = (), pad: bool = False) -> DataFrame:
@@ -106,8 +103,8 @@ def compact(df: DataFrame, keep: Column, n: int | None = None, order: list[Colum
     return _filled(out, n) if pad and n is not None else out
 
 
-def _filled(df: DataFrame, n: int) -> DataFrame:
-    have = df.count()
+def _filled(df: DataFrame, n: int, have: int | None = None) -> DataFrame:
+    have = df.count() if have is None else have
     dummies = df.sparkSession.range(max(0, n - have)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], F.lit(True).alias("is_dummy"))
     return df.withColumn("is_dummy", F.lit(False)).unionByName(dummies)
 
@@ -128,19 +125,34 @@ def expand_to(df: DataFrame, weight: str, size: int, order: list[Column | str],
 def zip_join(left: DataFrame, right: DataFrame, on: str, to: str, order: tuple[list[str], list[str]], size: int | None = None) -> DataFrame:
     """The inner join of two sides with distinct column names by expansion and alignment, without matching all with all.
 
-    Each side's rows carry how many of their key both sides have (a1, a2). A left row is copied a2 times, a right row a1
-    times, and both copies get the place in their key's block at which they meet: one equal place for each pair. The zip is
-    an equi-join on key and place, so a hot key is as many join keys as it has pairs. size: the result is cut or padded to
-    so many rows, in the order of key and place.
+    Keys carry how many rows both sides have of them. Each side's rows of a key are ranked and cut into blocks; a left block is
+    copied once for each right block, a right block once for each left one, and both copies get the place in their key at
+    which they meet: one equal place for each pair of blocks. The zip is an equi-join on key and place, so a hot key is as many
+    join keys as it has pairs of blocks, and only blocks are copied, not pairs. size: the result is cut or padded to so many
+    rows, in the order of key, left rank and right rank; pairs of the keys are added up first, and rows beyond are not matched.
     """
-    l, r = augment(left, right, on, to)
-    rank = lambda df, key, by: df.withColumn("__c", F.row_number().over(Window.partitionBy(key).orderBy(*by)) - 1)
-    a = expand(rank(l, on, order[0]), "a2", "__i").withColumn("__place", F.col("__c") * F.col("a2") + F.col("__i")).drop("__c", "__i", "a1", "a2")
-    b = expand(rank(r, to, order[1]), "a1", "__i").withColumn("__place", F.col("__i") * F.col("a2") + F.col("__c")).drop("__c", "__i", "a1", "a2")
-    met = a.join(b.withColumnRenamed("__place", "__there"), (F.col(on) == F.col(to)) & (F.col("__place") == F.col("__there")))
-    if size is None:
-        return met.drop("__place", "__there")
-    return _filled(met.orderBy(on, "__place").limit(size).drop("__place", "__there"), size)
+    a1, a2 = F.col("__a1"), F.col("__a2")
+    keys = key_counts(left, right, [on], [to])
+    have = None
+    if size is not None:
+        keys = global_prefix_sum(keys.withColumn("__pairs", times(a1, a2)), "__pairs", ["__k0"], "__first").where(F.col("__first") < size)
+        keys = keys.withColumn("__room", F.least(F.col("__pairs"), F.lit(size).cast("long") - F.col("__first"))).drop("__pairs", "__first")
+        have = keys.agg(F.sum("__room").alias("n")).first()["n"] or 0
+        # only so many left rows, and right ones, are in the room that the key has
+        keys = keys.withColumns({"__width": a2, "__a1": F.expr("(__room + __a2 - 1) div __a2"), "__a2": F.least("__a2", "__room")})
+    pairs = keys.agg(F.sum(a1.cast("double") * a2).alias("n")).first()["n"] or 0
+    keys = keys.withColumns({"__g1": blocks_of(a1), "__g2": blocks_of(a2)})
+
+    def side(df: DataFrame, key: str, by: list[str], rows: str, rank: str, more: list[str]) -> DataFrame:
+        ranked = df.withColumn(rank, (F.row_number().over(Window.partitionBy(key).orderBy(*by)) - 1).cast("long"))
+        ranked = ranked.join(keys.select("__k0", rows, "__g1", "__g2", *more), F.col(key) == F.col("__k0")).where(F.col(rank) < F.col(rows))
+        return ranked.withColumn("__mine", F.expr(f"{rank} div {spread.BLOCK}")).drop("__k0", rows)
+
+    a = side(left, on, order[0], "__a1", "__c1", [] if size is None else ["__room", "__width"])
+    b = side(right, to, order[1], "__a2", "__c2", [])
+    only = None if size is None else F.col("__c1") * F.col("__width") + F.col("__c2") < F.col("__room")
+    met = meet(a, b, [on], [to], pairs, only).select(*left.columns, *right.columns)
+    return met if size is None else _filled(met, size, have)
 
 
 def child_rank(df: DataFrame, key: list[str], delta: str, order: list[Column | str], out: str = "rank") -> DataFrame:

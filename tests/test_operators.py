@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grove.functions.expressions import MOST, hash_sample, times
-from grove.operators import graph, padding, positions, scans
+from grove.operators import graph, padding, positions, scans, spread
 from grove.operators.sensitivity import Bounds, Lattice, beta, evaluations, largest_k, residual, smooth_sensitivity
 from grove.plans.joins import tree_join
 from grove.plans.tree import SHAPES, JoinTree
@@ -125,6 +125,23 @@ def test_sized_results(spark):
     assert scans.zip_join(left, right, "k", "q", (["a"], ["b"]), 100).where("is_dummy").count() == 100 - len(want)
 
 
+def test_zip_join_of_blocks(spark, monkeypatch):
+    """Blocks of two rows and tasks of five: each pair once."""
+    monkeypatch.setattr(spread, "BLOCK", 2)
+    monkeypatch.setattr(spread, "EACH", 5)
+    a, b = [(k % 3 or None, k) for k in range(31)], [(k % 4 or None, 100 + k) for k in range(27)]
+    left, right = spark.createDataFrame(a, "k int, a int"), spark.createDataFrame(b, "q int, b int")
+    want = sorted((k, x, q, y) for k, x in a for q, y in b if k is not None and k == q)
+    assert sorted(map(tuple, scans.zip_join(left, right, "k", "q", (["a"], ["b"])).collect())) == want
+
+
+def test_zip_join_is_dealt_by_pairs(spark):
+    """Ten million pairs of two keys are tasks of two million."""
+    sides = lambda n, m: (spark.range(n).selectExpr("id % 2 AS k", "id AS a"), spark.range(m).selectExpr("id % 2 AS q", "id AS b"))
+    got = scans.zip_join(*sides(4000, 5000), "k", "q", (["a"], ["b"]))
+    assert got.count() == 10_000_000 and got.rdd.getNumPartitions() == 5
+
+
 def test_interval_join(spark):
     a, b = [(k % 2, k * 7 % 50 - 25) for k in range(40)] + [(None, 1)], [(k % 3, k * 11 % 60 - 30) for k in range(40)] + [(None, 1)]
     left, right = spark.createDataFrame(a, "k int, x int"), spark.createDataFrame(b, "q int, y int")

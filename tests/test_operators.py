@@ -126,20 +126,25 @@ def test_sized_results(spark):
 
 
 def test_zip_join_of_blocks(spark, monkeypatch):
-    """Blocks of two rows and tasks of five: each pair once."""
+    """Blocks of two rows and tasks of five: each pair once, in the order of key and ranks where the result is cut."""
     monkeypatch.setattr(spread, "BLOCK", 2)
     monkeypatch.setattr(spread, "EACH", 5)
     a, b = [(k % 3 or None, k) for k in range(31)], [(k % 4 or None, 100 + k) for k in range(27)]
     left, right = spark.createDataFrame(a, "k int, a int"), spark.createDataFrame(b, "q int, b int")
     want = sorted((k, x, q, y) for k, x in a for q, y in b if k is not None and k == q)
     assert sorted(map(tuple, scans.zip_join(left, right, "k", "q", (["a"], ["b"])).collect())) == want
+    for size in (0, 1, 6, 7, 8, 75, len(want), len(want) + 3):
+        got = scans.zip_join(left, right, "k", "q", (["a"], ["b"]), size)
+        assert sorted(tuple(r)[:4] for r in got.where("NOT is_dummy").collect()) == want[:size] and got.count() == size
 
 
 def test_zip_join_is_dealt_by_pairs(spark):
-    """Ten million pairs of two keys are tasks of two million."""
+    """Ten million pairs of two keys are tasks of two million; of ten billion pairs only those of the cut are made."""
     sides = lambda n, m: (spark.range(n).selectExpr("id % 2 AS k", "id AS a"), spark.range(m).selectExpr("id % 2 AS q", "id AS b"))
     got = scans.zip_join(*sides(4000, 5000), "k", "q", (["a"], ["b"]))
     assert got.count() == 10_000_000 and got.rdd.getNumPartitions() == 5
+    cut = scans.zip_join(*sides(200_000, 100_000), "k", "q", (["a"], ["b"]), 60_000)
+    assert cut.where("NOT is_dummy").groupBy("a").agg(F.count("b").alias("n"), F.max("b").alias("m")).orderBy("a").collect() == [(0, 50_000, 99_998), (2, 10_000, 19_998)]
 
 
 def test_interval_join(spark):

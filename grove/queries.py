@@ -309,7 +309,7 @@ SELECT n_nationkey, start + o AS pos FROM (
     FROM (SELECT n_nationkey, count(*) AS delta FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey) AS x) AS y) AS z""")
 def expand_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = positions.root_positions(STAR, star_frames(spark, d))
-    return scans.expand(rows, "__delta", "o").select("n_nationkey", (F.col("__start") + F.col("o")).alias("pos"))
+    return scans.expand(rows, "__delta", "o", even=True).select("n_nationkey", (F.col("__start") + F.col("o")).alias("pos"))
 
 
 @query(f"SELECT user_id, event_id, CAST(coalesce(sum(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM {_E}")

@@ -105,6 +105,14 @@ def test_scans(spark):
     assert sorted(r["n"] for r in numbered.collect()) == [1, 1, 2]
 
 
+def test_expand_deals_copies(spark):
+    """One row of nine million copies is several tasks of about as many copies each."""
+    out = scans.expand(spark.createDataFrame([("a", 9_000_000), ("b", 1), ("c", None)], "k string, w int"), "w", "i", even=True)
+    assert out.groupBy("k").agg(F.count("i").alias("n"), F.max("i"), F.sum("i")).orderBy("k").collect() == [("a", 9_000_000, 8_999_999, 40_499_995_500_000), ("b", 1, 0, 0)]
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 5 and max(tasks) < 3_000_000
+
+
 def test_global_fill_down(spark):
     rows = [(i, i * i if i % 7 == 3 else None) for i in range(200)]
     df = spark.createDataFrame(rows, "o int, v int").repartition(6)

@@ -5,6 +5,8 @@ Strategies give the same rows (a multiset, in no order):
 direct      inner joins from the root down; Catalyst reorders and AQE picks the physical joins. The default.
 reduced     a full reducer first, so that no intermediate result holds a row that dies later.
 binary      two-way joins from the leaves up, each subtree joined before it meets its parent.
+spread      as direct, but each edge's keys are counted first, and where a join gives far more rows than it reads, its rows are
+            met block by block in tasks that give about as many rows each (grove.operators.spread). For many-to-many trees.
 positional  counts first, then every output position is traced to one row of each relation (grove.operators.positions).
 
 Key 0, all-zero rows and repeated rows are ordinary; null keys match nothing; an empty join has no rows.
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 from grove.operators.counting import count
 from grove.operators.reduce import full_reduce
+from grove.operators.spread import spread_join
 from grove.plans.tree import JoinTree
 
-STRATEGIES = ("direct", "reduced", "binary", "positional")
+STRATEGIES = ("direct", "reduced", "binary", "spread", "positional")
 
 
 class OutputTooLarge(ValueError):
@@ -67,6 +70,10 @@ def tree_join(tree: JoinTree, frames: list[DataFrame], keep: list[list[str]] | N
             parts[p] = parts[p].join(parts[c], _on(tree, parts[p], p, parts[c], c), "inner")
         return parts[tree.root].select(*columns)
     out = parts[tree.root]
+    if strategy == "spread":
+        for p, c in tree.edges():
+            out = spread_join(out, parts[c], [f"r{p}__{a}" for a in tree.in_parent[c]], [f"r{c}__{b}" for b in tree.in_child[c]])
+        return out.select(*columns)
     for p, c in tree.edges():
         out = out.join(parts[c], _on(tree, out, p, parts[c], c), "inner")
     return out.select(*columns)

@@ -125,7 +125,7 @@ def tree_chain3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(STAR_SQL)
 def tree_star_m2m(spark: SparkSession, d: str) -> DataFrame:
-    return tree_join(STAR, star_frames(spark, d))
+    return tree_join(STAR, star_frames(spark, d), strategy="spread")
 
 
 @query("""

@@ -155,6 +155,25 @@ def test_zip_join_is_dealt_by_pairs(spark):
     assert cut.where("NOT is_dummy").groupBy("a").agg(F.count("b").alias("n"), F.max("b").alias("m")).orderBy("a").collect() == [(0, 50_000, 99_998), (2, 10_000, 19_998)]
 
 
+def test_spread_join(spark, monkeypatch):
+    """Blocks of two rows and tasks of five, for keys with many rows on both sides, on one, equal rows and nulls."""
+    monkeypatch.setattr(spread, "BLOCK", 2)
+    monkeypatch.setattr(spread, "EACH", 5)
+    a, b = [(k % 3 or None, k % 9) for k in range(60)] + [(7, 1), (8, 1)], [(k % 4 or None, 100 + k) for k in range(50)] + [(7, k) for k in range(9)]
+    left, right = spark.createDataFrame(a, "k int, a int"), spark.createDataFrame(b, "q int, b int")
+    for only, holds in ((None, lambda x, y: True), (F.col("a") * 13 < F.col("b"), lambda x, y: x * 13 < y)):
+        want = sorted((k, x, q, y) for k, x in a for q, y in b if k is not None and k == q and holds(x, y))
+        got = spread.spread_join(left, right, ["k"], ["q"], only)
+        assert sorted(map(tuple, got.collect())) == want and set(got.columns) == {"k", "a", "q", "b"}
+
+
+def test_spread_star_is_dealt_by_rows(spark):
+    """Nine million rows of a star are tasks of about two million."""
+    many = lambda n: spark.range(n).selectExpr("id % 4 AS c0", "id AS c1")
+    got = tree_join(STAR, [many(4), many(240), many(150_000)], strategy="spread")
+    assert got.count() == 9_000_000 and got.rdd.getNumPartitions() == 5
+
+
 def test_interval_join(spark):
     a, b = [(k % 2, k * 7 % 50 - 25) for k in range(40)] + [(None, 1)], [(k % 3, k * 11 % 60 - 30) for k in range(40)] + [(None, 1)]
     left, right = spark.createDataFrame(a, "k int, x int"), spark.createDataFrame(b, "q int, y int")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from grove.operators import counting, positions, reduce
+from grove.operators import counting, positions, reduce, spread
 from grove.plans.joins import STRATEGIES, OutputTooLarge, tree_join
 from grove.plans.tree import SHAPES, InvalidTree, JoinTree, edge_tree
 from grove.sources.readers import frame, sample_tables
@@ -123,3 +123,27 @@ def test_positions_cover_the_join_once(spark):
     assert part == whole[3:6]
     some = spark.createDataFrame([(0,), (7,), (7,), (8,)], "pos long")
     assert sorted(r["__pos"] for r in positions.at_positions(tree, fs, some).collect()) == [0, 7, 7]
+
+
+@pytest.mark.parametrize("tables,tree", [BAG4, BALANCED7, (None, SHAPES["sample"])])
+def test_runs_are_traced_as_single_positions_are(spark, monkeypatch, tables, tree):
+    monkeypatch.setattr(positions, "RUN_BIN", 2)
+    monkeypatch.setattr(spread, "BLOCK", 2)
+    monkeypatch.setattr(spread, "EACH", 5)
+    fs = frames(spark, tables) if tables else sample_tables(spark)
+    n = counting.count(tree, fs)
+    single = rows(positions.at_positions(tree, fs, spark.range(n).selectExpr("id AS pos")))
+    assert [r[0] for r in single] == list(range(n))
+    for low, high in ((None, None), (1, n - 1), (n // 2, n + 9)):
+        assert rows(positions.materialise(tree, fs, low, high)) == single[low or 0 : n if high is None else high]
+
+
+def test_runs_are_dealt_by_positions(spark):
+    """Nine million positions of a star: a row for each run of positions is shuffled, and tasks are counted by positions."""
+    tree = JoinTree.of([-1, 0, 0], [-1, 0, 0], [-1, 0, 0])
+    many = lambda n: spark.range(n).selectExpr("id % 4 AS c0", "id AS c1")
+    got = positions.materialise(tree, [many(4), many(240), many(150_000)])
+    assert got.rdd.getNumPartitions() == 5
+    sums = got.selectExpr("count(*)", "min(__pos)", "max(__pos)", "sum(__pos)", "sum(r1__c1 * r2__c1)").first()
+    pairs = sum(sum(range(k, 240, 4)) * sum(range(k, 150_000, 4)) for k in range(4))
+    assert tuple(sums) == (9_000_000, 0, 8_999_999, 8_999_999 * 4_500_000, pairs)

@@ -16,7 +16,7 @@ from grove.plans.tree import JoinTree
 
 #: The value of every column of a dummy row (fixed value of the format).
 DUMMY = 100000007
-#: Padded results above this are refused where rows are made; sizes as such have no bound below a long's.
+#: Protected sizes above this are refused where padded_join makes their rows; sizes as such have no bound below a long's.
 MAX_PROTECTED_ROWS = 50_000_000
 
 
@@ -60,9 +60,9 @@ def padding_stats(tree: JoinTree, frames: list[DataFrame], rows: int = 0, epsilo
     return PaddingStats(exact, s, source, f, target - exact, target, epsilon, delta)
 
 
-def pad(result: DataFrame, target: int, most: int = MAX_PROTECTED_ROWS, have: int | None = None) -> DataFrame:
-    """result with is_dummy, and dummy rows up to `target`; never fewer rows than result has."""
-    if target > most:
+def pad(result: DataFrame, target: int, most: int | None = None, have: int | None = None) -> DataFrame:
+    """result with is_dummy, and dummy rows up to `target`; never fewer rows than result has. most: targets above are refused."""
+    if most is not None and target > most:
         raise PaddingTooLarge(f"{target} rows are asked for, {most} allowed")
     have = result.count() if have is None else have
     spark = result.sparkSession
@@ -72,7 +72,7 @@ def pad(result: DataFrame, target: int, most: int = MAX_PROTECTED_ROWS, have: in
 
 def padded_join(tree: JoinTree, frames: list[DataFrame], rows: int = 0, epsilon: float = 1.0, delta: float = 1e-9, **how) -> DataFrame:
     stats = padding_stats(tree, frames, rows, epsilon, delta)
-    return pad(tree_join(tree, frames, **how), stats.target, have=stats.exact)
+    return pad(tree_join(tree, frames, **how), stats.target, MAX_PROTECTED_ROWS, have=stats.exact)
 
 
 def size_holds(rows: int, expected: int, padded: bool = False) -> bool:

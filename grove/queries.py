@@ -451,7 +451,7 @@ def global_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT r0__n_nationkey, r1__s_suppkey, r2__c_custkey, false AS is_dummy FROM ({STAR_SQL}) AS j UNION ALL SELECT 100000007, 100000007, 100000007, true FROM range(500)")
 def pad_output(spark: SparkSession, d: str) -> DataFrame:
     frames = star_frames(spark, d)
-    rows = tree_join(STAR, frames, [["n_nationkey"], ["s_suppkey"], ["c_custkey"]])
+    rows = tree_join(STAR, frames, [["n_nationkey"], ["s_suppkey"], ["c_custkey"]], strategy="spread")
     n = counting.count(STAR, frames)
     return padding.pad(rows, n + 500, have=n)
 

@@ -46,6 +46,12 @@ def test_padding(spark):
     assert padding.size_holds(5, 5) and padding.size_holds(6, 5, True) and not padding.size_holds(6, 5) and padding.size_holds(0, -1)
 
 
+def test_padding_of_a_large_result(spark):
+    """A result above the bound on protected sizes is padded all the same; only a bound that is given refuses."""
+    got = padding.pad(spark.range(padding.MAX_PROTECTED_ROWS), padding.MAX_PROTECTED_ROWS + 500, have=padding.MAX_PROTECTED_ROWS)
+    assert got.groupBy("is_dummy").count().orderBy("is_dummy").collect() == [(False, padding.MAX_PROTECTED_ROWS), (True, 500)]
+
+
 def test_padding_beyond_an_int(spark):
     two = JoinTree.of([-1, 0], [-1, 0], [-1, 0])
     many = spark.range(70_000).select(F.lit(1).alias("c0"))

@@ -25,8 +25,8 @@ import numpy as np
 
 #: Buckets of the priority queue at most, and suffixes of a bucket where it holds many symbols, about.
 QUEUES, BUCKET = 512, 1 << 14
-#: Suffixes that are scanned at once, and those of a bucket with many symbols that are looked at for it.
-BLOCK, AHEAD = 1 << 16, 1 << 13
+#: Suffixes that are scanned at once, and those of a bucket with many symbols that are kept in order for it.
+BLOCK, AHEAD = 1 << 16, 1 << 12
 #: Bytes of queue entries in memory in one sort, and of a text that is not mapped from a file.
 MEMORY = 2 << 20
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -87,6 +87,8 @@ class Text:
         whole[: n * kind.itemsize].view(kind)[:] = symbols
         self.n, self.each, self.bits = n, 8 // kind.itemsize, 8 * kind.itemsize
         self.symbols = np.frombuffer(whole, kind, n)
+        if kind.itemsize > 1:  # for words the first symbol is in the highest bits; alone, symbols are read in the machine's own order
+            self.symbols = self.symbols.astype(kind.newbyteorder("="))
         self.words = np.ndarray((n + 1,), ">u8", whole, 0, (kind.itemsize,))
 
     def word(self, at: np.ndarray) -> np.ndarray:
@@ -173,15 +175,34 @@ def _least(p: np.ndarray, low: np.ndarray, high: np.ndarray, groups: int) -> np.
     return out
 
 
+def _by(key: np.ndarray) -> np.ndarray:
+    """The stable order of integers below 2 ** 47 in size; short ones are sorted with their places in the lowest bits."""
+    if len(key) > 1 << 16:
+        return np.argsort(key, kind="stable")
+    return np.sort(key << 16 | np.arange(len(key))) & 0xFFFF
+
+
+def _inserted(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Columns of both in order of the third row, those of `new` behind equal ones."""
+    at = np.searchsorted(rows[2], new[2], "right") + np.arange(new.shape[1])
+    out = np.empty((len(rows), rows.shape[1] + new.shape[1]), rows.dtype)
+    old = np.ones(out.shape[1], bool)
+    old[at] = False
+    out[:, at] = new
+    out[:, old] = rows
+    return out
+
+
 class _Scan:
     """One scan over all suffixes: upwards if sign is 1, downwards if it is -1. `wanted` says which suffixes it pushes."""
 
     def __init__(self, text: Text, wanted: np.ndarray, store: Store, cap: int, sign: int) -> None:
         self.text, self.wanted, self.store, self.cap, self.sign = text, wanted, store, cap, sign
         symbols = int(text.symbols.max()) + 1
-        self.kind = np.int32 if text.n < 1 << 31 and cap < 1 << 31 else np.int64
+        self.kind = np.int32 if max(text.n, cap, symbols) < 1 << 29 else np.int64
         buckets = symbols if symbols <= QUEUES else min(QUEUES, 1 + text.n // BUCKET)
-        self.each = -(-symbols // buckets)  # symbols of a bucket
+        self.shift = (-(-symbols // buckets) - 1).bit_length()
+        self.each = 1 << self.shift  # symbols of a bucket
         self.queues: list[list] = [[] for _ in range(-(-symbols // self.each))]
         # of each symbol the block with its last source (-1: none yet) and the least prefix after that in the block
         self.seen, self.rest = np.full(symbols, -1, np.int64), np.zeros(symbols, np.int64)
@@ -190,7 +211,9 @@ class _Scan:
 
     def push(self, suffixes: np.ndarray, prefixes: np.ndarray, edges: list[int], buckets: list[int]) -> None:
         """Suffixes sorted by first symbol: those from edges[k] to edges[k + 1] go to buckets[k]."""
-        held = self.store.put(np.stack((suffixes, prefixes), axis=1).astype(self.kind))
+        block = np.empty((len(suffixes), 2), self.kind)
+        block[:, 0], block[:, 1] = suffixes, prefixes
+        held = self.store.put(block)
         for c, a, b in zip(buckets, edges, edges[1:]):
             self.queues[c].append((held, a, b))
 
@@ -230,53 +253,86 @@ class _Scan:
             return
         last = None
         for block in self.blocks(c):
-            self.feed(block[:, 0], block[:, 1])
+            self.feed(block[:, 0], block[:, 1], self._pushed(block[:, 0]))
             last = block[-1:, 0]
             yield block[:, 0], block[:, 1], np.zeros(len(block), bool)
         for suffixes, prefixes in fixed:
             if last is not None and len(suffixes):
                 prefixes = np.append(self.text.common(last, suffixes[:1], self.cap), prefixes[1:])
                 last = None
-            self.feed(suffixes, prefixes)
+            self.feed(suffixes, prefixes, self._pushed(suffixes))
             yield suffixes, prefixes, np.ones(len(suffixes), bool)
 
-    def _keyed(self, suffixes: np.ndarray, fixed: np.ndarray | int = 0) -> np.ndarray:
-        return 2 * self.sign * self.text.symbols[suffixes].astype(np.int64) + fixed
+    def _entries(self, suffixes: np.ndarray, prefixes: np.ndarray, fixed: int, c: int) -> np.ndarray:
+        """Rows of a bucket's suffixes, prefixes, keys, symbols that they are pushed to (-1: none), and the greatest keys that
+        may be scanned with them, in the order of their keys; those of `fixed` (1) come after a symbol's pushes (0)."""
+        top = np.iinfo(self.kind).max
+        key = 2 * self.sign * self.text.symbols[suffixes].astype(np.int64) + fixed
+        if not fixed:
+            order = _by(key)
+            suffixes, prefixes, key = suffixes[order], prefixes[order], key[order]
+        out = np.empty((5, len(key)), self.kind)
+        symbol = self._pushed(suffixes)
+        own = 2 * self.sign * symbol
+        out[0], out[1], out[2], out[3] = suffixes, prefixes, key, symbol
+        # a push to another symbol of the bucket comes before that symbol's pushes are scanned, one to its own symbol after
+        out[4] = np.where(symbol >> self.shift == c, own - (own != key), top)
+        return out
+
+    def _pushed(self, suffixes: np.ndarray) -> np.ndarray:
+        """The symbol that each suffix pushes its predecessor to, -1 where it pushes none."""
+        before = suffixes - 1
+        return np.where(self.wanted[before] & (before >= 0), self.text.symbols[before].astype(np.int64), -1)
 
     def _mixed(self, c: int, suffixes: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        key = self._keyed(suffixes, 1)
-        last, last_key = np.zeros(1, np.int64), np.array([1 << 62])
-        while len(suffixes) or self.queues[c]:
+        rest = self._entries(suffixes, prefixes, 1, c)
+        # pushes are put in order among the rows that are scanned next; those beyond the bound wait until these are used up
+        rows, later, bound, look = rest[:, :0], [], -(1 << 62), AHEAD
+        last, last_key = np.zeros(1, self.kind), 1 << 62
+        while True:
             if self.queues[c]:
                 new = self.store.get(self.queues[c])
                 self.queues[c] = []
-                mine = self._keyed(new[:, 0])
-                order = np.argsort(mine, kind="stable")
-                at = np.searchsorted(key, mine[order], "right")
-                suffixes, prefixes, key = (np.insert(x, at, y[order]) for x, y in ((suffixes, new[:, 0]), (prefixes, new[:, 1]), (key, mine)))
-            n = len(key) if len(key) <= AHEAD else int(np.searchsorted(key, key[AHEAD], "right"))
-            # a push to another symbol of the bucket comes before that symbol's pushes are scanned, one to its own symbol after
-            before = suffixes[:n] - 1
-            symbol = self.text.symbols[before]
-            own = 2 * self.sign * symbol.astype(np.int64)
-            goes = self.wanted[before] & (before >= 0) & (symbol // self.each == c)
-            again = goes & (own == key[:n])
-            target = np.where(goes, own - ~again, 1 << 62)
-            blocked = key[1:n] > np.minimum.accumulate(target)[:-1]
+                new = self._entries(new[:, 0], new[:, 1], 0, c)
+                near = int(np.searchsorted(new[2], bound, "right"))
+                if near:
+                    rows = _inserted(rows, new[:, :near])
+                if near < new.shape[1]:
+                    later.append(new[:, near:])
+            if not rows.shape[1]:
+                if later:
+                    new = np.concatenate(later, axis=1)
+                    rest, later = _inserted(rest, new[:, _by(new[2].astype(np.int64))]), []
+                n = rest.shape[1]
+                if not n:
+                    return
+                n = n if n <= AHEAD else int(np.searchsorted(rest[2], rest[2, AHEAD], "right"))
+                rows, rest = rest[:, :n], rest[:, n:]
+                bound = int(rows[2, -1])
+            key = rows[2]
+            n = len(key) if len(key) <= look else int(np.searchsorted(key, key[look], "right"))
+            blocked = key[1:n] > np.minimum.accumulate(rows[4, : n - 1])
             stop = int(blocked.argmax()) + 1 if blocked.any() else n
-            now, pre, keys = suffixes[:stop], prefixes[:stop].astype(np.int64), key[:stop]
+            look = min(AHEAD, 4 * stop + 16)
+            now, pre, keys, symbol = rows[0, :stop], rows[1, :stop], key[:stop], rows[3, :stop]
             fixed = keys & 1 > 0
-            ahead, ahead_key = np.append(last, now[:-1]), np.append(last_key, keys[:-1])
-            meet = np.flatnonzero(fixed & (keys - ahead_key == 1))
-            pre[meet] = self.text.common(ahead[meet], now[meet], self.cap)
-            self.feed(now, pre, False)
-            last, last_key = now[-1:], keys[-1:]
-            suffixes, prefixes, key = suffixes[stop:], prefixes[stop:], key[stop:]
+            meet = np.flatnonzero(fixed[1:] & (keys[1:] - keys[:-1] == 1)) + 1
+            if fixed[0] and int(keys[0]) - last_key == 1:
+                meet = np.concatenate(([0], meet))
+            if len(meet):
+                pre = pre.copy()
+                pre[meet] = self.text.common(np.where(meet > 0, now[meet - 1], last), now[meet], self.cap)
+            again = 2 * self.sign * symbol == keys
+            more = again.any()
+            self.feed(now, pre, np.where(again, -1, symbol) if more else symbol)
+            last, last_key = now[-1:], int(keys[-1])
+            rows = rows[:, stop:]
             yield now, pre, fixed
-            if again[:stop].any():  # then the block ends with all pushes of that symbol
+            if more:  # then the block ends with all pushes of that symbol
                 mine = keys == last_key
                 now, pre = self._runs(now[mine], pre[mine])
-                self.feed(now, pre, False)
+                symbol = self._pushed(now)
+                self.feed(now, pre, np.where(2 * self.sign * symbol == last_key, -1, symbol))
                 last = now[-1:]
                 yield now, pre, np.zeros(len(now), bool)
 
@@ -296,37 +352,32 @@ class _Scan:
         shared[at] = self.text.common(np.append(suffixes[-1:], out[:-1])[at], out[at], self.cap, np.minimum(nth[at] - 1, self.cap))
         return out, np.minimum(shared, self.cap)
 
-    def feed(self, suffixes: np.ndarray, prefixes: np.ndarray, runs: bool = True) -> None:
-        """Scans suffixes, each with its prefix with the one scanned before it; without runs, none is pushed to its own symbol."""
+    def feed(self, suffixes: np.ndarray, prefixes: np.ndarray, symbol: np.ndarray) -> None:
+        """Scans suffixes, each with its prefix with the one scanned before it and the symbol that it pushes to (-1: none)."""
         for i in range(0, len(suffixes), BLOCK):
-            self._block(suffixes[i : i + BLOCK], prefixes[i : i + BLOCK], runs)
+            self._block(suffixes[i : i + BLOCK], prefixes[i : i + BLOCK], symbol[i : i + BLOCK])
 
-    def _block(self, suffixes: np.ndarray, prefixes: np.ndarray, runs: bool) -> None:
-        before = suffixes - 1
-        goes = self.wanted[before] & (before >= 0)
-        if not runs:
-            goes &= self.text.symbols[before] != self.text.symbols[suffixes]
-        at = np.flatnonzero(goes)
+    def _block(self, suffixes: np.ndarray, prefixes: np.ndarray, symbol: np.ndarray) -> None:
+        at = np.flatnonzero(symbol >= 0)
         if len(at):
-            symbol = self.text.symbols[before[at]]
-            at = at[np.argsort(symbol, kind="stable")]
-            before = before[at]
-            symbol = self.text.symbols[before].astype(np.int64)
-            heads = np.flatnonzero(np.diff(symbol, prepend=-1))
+            symbol = symbol[at].astype(np.int64)
+            order = _by(symbol)
+            at, symbol = at[order], symbol[order]
+            heads = np.flatnonzero(np.concatenate(([True], symbol[1:] != symbol[:-1])))
             low = np.empty_like(at)
             low[1:] = at[:-1] + 1
             low[heads] = 0
             shared = _least(prefixes, low, at, len(heads)).astype(np.int64) + 1
             mine = symbol[heads]
             old = self.seen[mine]
-            since = np.append(self.minima, self.cap)[np.searchsorted(self.marks, old, "right")]
+            since = np.array([*self.minima, self.cap])[np.searchsorted(self.marks, old, "right")]
             shared[heads] = np.where(old < 0, 0, np.minimum(shared[heads], np.minimum(self.rest[mine], since) + 1))
-            ends = np.append(heads[1:], len(at))
+            ends = np.concatenate((heads[1:], [len(at)]))
             self.seen[mine] = self.number
-            self.rest[mine] = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], self.cap)[at[ends - 1] + 1]
-            bucket = mine // self.each
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            self.push(before, np.minimum(shared, self.cap), [*heads[first].tolist(), len(at)], bucket[first].tolist())
+            self.rest[mine] = np.concatenate((np.minimum.accumulate(prefixes[::-1])[::-1], [self.cap]))[at[ends - 1] + 1]
+            bucket = mine >> self.shift
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            self.push(suffixes[at] - 1, np.minimum(shared, self.cap), [*heads[first].tolist(), len(at)], bucket[first].tolist())
         least = int(prefixes.min())
         while self.minima and self.minima[-1] >= least:
             self.minima.pop()

@@ -16,6 +16,7 @@ digests are of the bytes); columns other than doc_id and text are ignored by dig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,28 +28,77 @@ from grove.llm import minimisers as mn
 from grove.llm import spans as sp
 from grove.llm.common import buckets_for, text_bytes
 from grove.llm.minimisers import least
-from grove.llm.superkmers import _windows, rolled
+from grove.llm.superkmers import mixed, rolled
 
 WINDOW, MER = 200, 64
 #: Bytes of text in a chunk, of segments in a shard, and of a shard's minimiser groups that are sorted together, about.
 CHUNK, SHARD, SORTED = 1 << 20, 4 << 20, 1 << 20
+#: Bytes whose hashes are made at once.
+BLOCK = 1 << 15
 #: Windows of a segment beyond which its own repeats are found before it travels (only periodic texts have such).
 LONG = 2048
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ALL, _TWICE = 1, 2  # flags: all windows are known to be repeated; the minimiser stands in the segment more than once
 
 
-def _minimised(texts: list[bytes], width: int, mer: int) -> tuple:
-    """Of all windows of the texts, one after the other: first byte, text, start there and minimiser; and the mers' hashes."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    at, owner, start = _windows(sizes, width)
-    h = rolled(_BYTES[np.frombuffer(b"".join(texts), np.uint8)], mer)
-    return at, owner, start, least(h, width - mer + 1)[at] if len(at) else np.zeros(0, np.uint64), h
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """So many powers of an odd number, and those of its inverse."""
+    odd = np.full((2, size), 0x9FB21C651E98DF25, np.uint64)
+    odd[1] = pow(0x9FB21C651E98DF25, -1, 1 << 64)
+    odd[:, 0] = 1
+    return tuple(np.multiply.accumulate(odd, axis=1))
+
+
+def _hashed(data: np.ndarray, mer: int, size: int) -> np.ndarray:
+    """A hash, never zero, of each run of `mer` bytes, from one running sum; size: bytes of data at most."""
+    powers, inverse = _powers(size)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * powers[: len(data)], out=total[1:])
+    h = total[mer:] - total[:-mer]
+    return mixed(h * inverse[: len(h)]) | np.uint64(1)
+
+
+def _minimised(texts: list[bytes], width: int, mer: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts, none shorter than a window, one after the other: first byte, number of windows and
+    minimiser of each run of them that shares a minimiser; where the minimisers of windows stand, and their hashes.
+
+    This is done BLOCK bytes at a time, so that the passes over hashes stay in a processor's cache.
+    """
+    data, reach = np.frombuffer(b"".join(texts), np.uint8), width - mer
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    windows, last = len(data) - width + 1, np.uint64(0)
+    first, value, place, hashes = [], [], [], []
+    for at in range(0, windows + reach, BLOCK):
+        low, high = max(0, at - reach), min(at + BLOCK, windows + reach)
+        stop = min(high, windows)
+        h = _hashed(data[low : stop + width - 1], mer, BLOCK + reach + width)
+        minimum = least(h, reach + 1).copy()  # of one entry each it is a view
+        near = ends[np.searchsorted(ends, low) : np.searchsorted(ends, stop + width)]
+        for e in (near - low).tolist():  # windows that reach into the next text
+            minimum[max(0, e - width + 1) : e] = 0
+        own = minimum[at - low :]
+        if len(own):
+            new = own != np.append(last, own[:-1])
+            new[near[(near >= at) & (near < stop)] - at] = True
+            first.append(at + np.flatnonzero(new))
+            value.append(own[new])
+            last = own[-1]
+        # those whose hash is the greatest of the minima of the windows around them
+        around = np.zeros(reach + high - at, np.uint64)
+        around[reach + low - at : reach + stop - at] = minimum
+        h = h[at - low : high - low]
+        stands = np.flatnonzero(~least(~around, reach + 1) == h)
+        place.append(at + stands)
+        hashes.append(h[stands])
+    first, value, place, hashes = (np.concatenate(x) for x in (first, value, place, hashes))
+    real = value > 0
+    return first[real], np.diff(first, append=windows)[real], value[real], place, hashes
 
 
 def _selected(texts: list[bytes], width: int, mer: int) -> np.ndarray:
-    at, _, _, minimiser, h = _minimised([t for t in texts if len(t) >= width], width, mer)
-    return h[mn.chosen(h, at, minimiser, width - mer)] if len(at) else np.zeros(0, np.uint64)
+    long = [t for t in texts if len(t) >= width]
+    return _minimised(long, width, mer)[-1] if long else np.zeros(0, np.uint64)
 
 
 def _again(text: bytes, width: int) -> np.ndarray:
@@ -75,19 +125,21 @@ def _sent(batches: Iterator[pd.DataFrame], bitmap: mn.Bitmap, n_shards: int, wid
     for ids, ths, places, texts in sp.chunks(batches, chunk, sp.byte_pieces(width)):
         long = [i for i, t in enumerate(texts) if len(t) >= width]
         ids, ths, places, texts = ids[long], ths[long], places[long], [texts[i] for i in long]
-        at, owner, start, minimiser, h = _minimised(texts, width, mer)
-        if not len(at):
+        if not texts:
             continue
-        kept = mn.hits(flags, bitmap.bits, minimiser)
-        a, b = sp.runs(kept, owner, minimiser)
-        if not len(a):
+        lo, windows, value, place, h = _minimised(texts, width, mer)
+        kept = mn.hits(flags, bitmap.bits, value)
+        if not kept.any():
             continue
+        lo, windows, value = lo[kept], windows[kept], value[kept]
         joined = b"".join(texts)
-        lo, windows = at[a], b - a + 1
-        value, doc, begin = minimiser[a], owner[a], places[owner[a]] + start[a]
+        ends = np.cumsum([len(t) for t in texts])
+        doc = np.searchsorted(ends, lo, "right")
+        begin = places[doc] + lo - np.append(0, ends)[doc]
         # where the minimiser stands: the segment's runs of `mer` bytes that have its hash
-        n = windows + width - mer
-        inside = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a, b = np.searchsorted(place, lo), np.searchsorted(place, lo + windows + width - mer)
+        n = b - a
+        inside = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         stands = np.add.reduceat((h[inside] == np.repeat(value, n)).astype(np.int64), np.cumsum(n) - n)
         flag = np.where(stands > 1, _TWICE, 0)
         pieces, spans = [], []

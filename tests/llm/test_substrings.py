@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,62 @@ def test_induced_sorting(monkeypatch):
                 assert prefix[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_minimisers_are_found_block_by_block(monkeypatch):
+    """Runs of windows with one minimiser, and where these stand, whatever the block; no pass is over a whole chunk's hashes."""
+    rng = random.Random(8)
+    for _ in range(400):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", rng.choice([1, 2, 7, 50, 1 << 15]))
+        width = rng.randint(1, 20)
+        mer = rng.randint(1, width)
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(width, rng.choice([width, 90])))) for _ in range(rng.randint(1, 5))]
+        runs, stands, offset = [], {}, 0
+        for t in texts:
+            h = [int(suffix_dedup._hashed(np.frombuffer(t[k : k + mer], np.uint8), mer, mer)[0]) for k in range(len(t) - mer + 1)]
+            for k in range(len(t) - width + 1):
+                around = range(k, k + width - mer + 1)
+                least = min(h[j] for j in around)
+                stands |= {offset + j: least for j in around if h[j] == least}
+                if k and runs[-1][2] == least:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([offset + k, 1, least])
+            offset += len(t)
+        first, windows, minimiser, place, hashes = suffix_dedup._minimised(texts, width, mer)
+        assert [list(r) for r in zip(first.tolist(), windows.tolist(), minimiser.tolist())] == runs
+        assert dict(zip(place.tolist(), hashes.tolist())) == stands and place.tolist() == sorted(stands)
+    monkeypatch.undo()
+    text = rng.randbytes(1 << 20)
+    tracemalloc.start()
+    found = suffix_dedup._selected([text], 200, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > len(text) / 100 and peak < 8 * len(text)
+
+
+def test_sort_looks_at_each_suffix_once_a_scan(monkeypatch):
+    """Suffixes of a bucket of many symbols that wait for the scan are not looked at again in each of its steps."""
+    looks, most, begin = [], [], induced._Scan.__init__
+
+    class Counted:
+        def __init__(self, wanted):
+            self.wanted = wanted
+
+        def __getitem__(self, at):
+            looks.append(len(at))
+            return self.wanted[at]
+
+    def counting(scan, text, wanted, *more):
+        most.append(text.n)
+        begin(scan, text, Counted(wanted), *more)
+
+    monkeypatch.setattr(induced._Scan, "__init__", counting)
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(60_000))
+    order, _ = induced.suffixes(np.frombuffer(text, np.uint8), 1000)
+    assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k : k + 200])
+    assert len(most) >= 4 and sum(looks) <= sum(most)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"mer": 5, "chunk": 300, "shard": 400, "together": 100, "memory": 0}])
 def test_suffix_dedup(spark, sizes):
     rows = odd_rows()
